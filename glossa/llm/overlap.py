@@ -1,17 +1,18 @@
 """Same or nearly same short texts across two sides: exact prefix-filter join on rare shingles.
 
 Two texts match if they are built of the same words in any order, at most one exchanged or left out.
-Words of alphabetic scripts are units of their own; in scripts without spaces each character is a unit
-and a word is a contiguous block of up to WORD units. Shingles are the words of an alphabetic text and
-the unit pairs of a Chinese one.
-
-With n shingles a match shares all but `loss` of them. Ordered by rarity over both sides, the first
-loss + size shingles of both texts then have `size` shingles in common, so every match shares a
-combination of `size` of these prefixes: that combination is the join key, which the length and the
-position filter cut down before the pair is verified on its units. A Chinese word exchange breaks WORD + 1
-pairs, MOVES more are granted for clauses in another order; equal bags of units in whatever order
-have a key of their own. Texts too short for one exchanged word to be a small part (fewer than
-SHORT_WORDS words or SHORT_UNITS characters) match only as equal bags.
+
+Alphabetic texts: the shingles are the words, a match lacks at most LOSS of them. Ordered by rarity over
+both sides, the first LOSS + SIZE words of both texts then have SIZE in common, so every match
+shares a combination of SIZE words of these prefixes. The combinations of the evaluation side are indexed,
+those of the training side probe them, and the length and the position filter cut down what meets.
+
+Chinese texts: without spaces a word is any block of up to WORD characters, and prefixes of character
+shingles select too little (see README). The rare shingles here are the cores, the text without one
+such block as a bag of characters: two texts match exactly if they have a core in common.
+
+What meets is verified on the words or characters themselves. Texts too short for one exchanged word to
+be a small part (fewer than SHORT_WORDS words or SHORT_UNITS characters) match only as equal bags.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -31,12 +33,10 @@ from pyspark.sql import types as T
 from glossa.llm.textforms import canonical
 from glossa.session import stored
 
-WORD, MOVES = 5, 3
+WORD = 5
 SHORT_WORDS, SHORT_UNITS = 4, 12
-#: By kind of text: shingles that a match may lack, shingles to a key.
-LOSS = {"words": 1, "units": WORD + 1 + MOVES}
-SIZE = {"words": 3, "units": 2}
-#: Shingle counts are kept in this many cells, a bound for what is broadcast.
+LOSS, SIZE = 1, 3
+#: Word counts are kept in this many cells, a bound for what is broadcast.
 CELLS = 1 << 18
 
 # Set phrases that only frame a question, without punctuation.
@@ -84,35 +84,44 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
 
 
+_unit_hash = lru_cache(1 << 16)(_hash)
+
+
 def kind_of(found: list[str]) -> str:
     return "units" if 2 * sum(map(_han, found)) >= len(found) else "words"
 
 
 def shingles(found: list[str]) -> list[int]:
-    """Hashes of a text's shingles; the k-th occurrence of a shingle is a shingle of its own."""
-    parts = found if kind_of(found) == "words" else [f"{a} {b}" for a, b in zip(found, found[1:])]
+    """Hashes of a text's words; the k-th occurrence of a word is a shingle of its own."""
     seen: Counter[str] = Counter()
     out = []
-    for p in parts:
+    for p in found:
         seen[p] += 1
-        out.append(_hash(f"{p}\t{seen[p]}"))
+        out.append(_unit_hash(f"{p}\t{seen[p]}"))
     return out
 
 
-def keys(found: list[str], counts: np.ndarray) -> list[tuple[int, int, int]]:
-    """(key, number of shingles, shingles after the key's last) of a text; position 2^30 marks the key of the whole bag."""
+def keys(found: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, shingles or units it stands for, shingles after its last) of a text; the first key is that of the whole bag."""
     kind = kind_of(found)
-    out = [(_hash("bag\t" + " ".join(sorted(found))), len(found), 1 << 30)]
-    if len(found) < (SHORT_WORDS if kind == "words" else SHORT_UNITS):
-        return out
-    loss, size = LOSS[kind], SIZE[kind]
-    ordered = sorted(shingles(found), key=lambda h: (counts[h & (CELLS - 1)], h))
-    n = len(ordered)
-    prefix = ordered[: loss + size]
-    for chosen in combinations(range(len(prefix)), size):
-        mix = _hash(kind + ",".join(str(prefix[i]) for i in chosen))
-        out.append((mix, n, n - 1 - chosen[-1]))
-    return out
+    one = np.array([_unit_hash(u) for u in found], dtype=np.int64)
+    n = len(found)
+    if kind == "units":
+        sums = np.concatenate([[0], np.cumsum(one)])  # wraps around, as any sum of hashes here
+        bags, sizes = [sums[-1:]], [np.array([n])]
+        if n >= SHORT_UNITS:
+            for block in range(1, WORD + 1):
+                bags.append(sums[-1] - (sums[block:] - sums[:-block]))
+                sizes.append(np.full(n - block + 1, n - block))
+        key, size = np.concatenate(bags), np.concatenate(sizes)
+        key, first = np.unique(key, return_index=True)
+        return key, size[first], np.full(key.size, 1 << 30)
+    out = [(int(one.sum()), n, 1 << 30)]
+    if n >= SHORT_WORDS:
+        ordered = sorted(shingles(found), key=lambda h: (counts[h & (CELLS - 1)], h))
+        for chosen in combinations(range(min(n, LOSS + SIZE)), min(SIZE, n - LOSS)):
+            out.append((_hash("words" + ",".join(str(ordered[i]) for i in chosen)), n, n - 1 - chosen[-1]))
+    return tuple(np.array(x, dtype=np.int64) for x in zip(*out))
 
 
 def _block(text: list[str], bag: Counter[str], size: int) -> bool:
@@ -155,8 +164,9 @@ def _prepared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(CELLS, dtype=np.int64)
     for pdf in batches:
-        for words in pdf["words"]:
-            np.add.at(total, np.array(shingles(words.split(" ")), dtype=np.int64) & (CELLS - 1), 1)
+        for words in map(str.split, pdf["words"]):
+            if kind_of(words) == "words":
+                np.add.at(total, np.array(shingles(words), dtype=np.int64) & (CELLS - 1), 1)
     there = np.flatnonzero(total)
     yield pd.DataFrame({"cell": there, "n": total[there]})
 
@@ -182,19 +192,19 @@ def cross_pairs(df: DataFrame, key: str, side, text: str) -> DataFrame:
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 2000):
-                part = pdf.iloc[at : at + 2000]
-                made = [(s, _hash(w), *k) for s, w in zip(part["side"], part["words"]) for k in keys(w.split(" "), shared.value)]
-                yield pd.DataFrame(made, columns=["side", "text", "key", "n", "after"])
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
+                made = [keys(w.split(" "), shared.value) for w in part["words"]]
+                row = np.repeat(np.arange(len(part)), [k.size for k, _, _ in made])
+                text = np.array([_hash(w) for w in part["words"]], dtype=np.int64)
+                key, n, after = (np.concatenate(x) for x in zip(*made))
+                yield pd.DataFrame({"side": part["side"].to_numpy()[row], "text": text[row], "key": key, "n": n.astype(np.int32), "after": after.astype(np.int32)})
 
     index = texts.mapInPandas(keyed, "side string, text long, key long, n int, after int")
     ev = index.filter("side = 'eval'").select("key", F.col("text").alias("te"), F.col("n").alias("ne"), F.col("after").alias("ae"))
     tr = index.filter("side = 'train'").select("key", F.col("text").alias("tt"), F.col("n").alias("nt"), F.col("after").alias("at"))
-    loss = max(LOSS.values())
-    small = min(SIZE.values())
     # length filter, then position filter: what the key holds and what follows it on the shorter side must reach the overlap
-    near = (F.abs(F.col("ne") - F.col("nt")) <= loss) & (F.least("ae", "at") + max(SIZE.values()) >= F.greatest("ne", "nt") - loss)
-    assert small >= 1
+    near = (F.abs(F.col("ne") - F.col("nt")) <= LOSS) & (F.least("ae", "at") + SIZE >= F.greatest("ne", "nt") - LOSS)
     candidates = ev.join(tr, "key").filter(near).select("te", "tt").distinct()
 
     word = texts.select("side", "words", _hash_udf("words").alias("text"))
