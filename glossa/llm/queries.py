@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import forms_queries, leaks_queries, neighbours_queries, overlap_queries, topics_queries, topk_queries
+from glossa.llm import forms_queries, leaks_queries, neighbours_queries, overlap_queries, packing_queries, topics_queries, topk_queries
 
-MODULES = (overlap_queries, topk_queries, neighbours_queries, forms_queries, leaks_queries, topics_queries)
+MODULES = (overlap_queries, topk_queries, neighbours_queries, forms_queries, packing_queries, leaks_queries, topics_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
