@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.plans import analytics_queries, lexical_queries, nested_queries, reverse_queries, semantic_queries
+from glossa.plans import analytics_queries, lexical_queries, nested_queries, reverse_queries, semantic_queries, text_queries
 
-MODULES = (lexical_queries, reverse_queries, semantic_queries, analytics_queries, nested_queries)
+MODULES = (lexical_queries, reverse_queries, semantic_queries, analytics_queries, text_queries, nested_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
