@@ -80,11 +80,11 @@ def plan(queries: DataFrame, terms: DataFrame) -> DataFrame:
 
     terms: (term) that are stored. Words are listed whether they are stored or not, as long as no chosen phrase covers them.
     """
-    stored = terms.select("term").distinct().withColumn("known", F.lit(True))
+    index = terms.select("term").distinct().withColumn("known", F.lit(True))
     made = stored(probes(queries), "english-probes")  # read by every branch below
-    exact = made.join(stored.withColumnRenamed("term", "exact"), "exact", "left_semi").select("query_id", "exact")
+    exact = made.join(index.withColumnRenamed("term", "exact"), "exact", "left_semi").select("query_id", "exact")
     rest = made.join(exact.select("query_id"), "query_id", "left_anti")
-    hits = rest.select("query_id", F.inline("phrases")).join(stored, F.col("text") == F.col("term"), "left_semi")
+    hits = rest.select("query_id", F.inline("phrases")).join(index, F.col("text") == F.col("term"), "left_semi")
     per = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("order", "text", "surface", "places"))).alias("found"))  # at most MOST_PROBES
     picked = rest.select("query_id", "tokens").join(per, "query_id", "left").withColumn("picked", _chosen_udf("found"))
     phrases = picked.select("query_id", F.posexplode("picked").alias("at", "p")).select("query_id", F.lit("phrase").alias("kind"), "at", "p.text", "p.surface")
@@ -93,9 +93,9 @@ def plan(queries: DataFrame, terms: DataFrame) -> DataFrame:
     open_ = F.filter("tokens", lambda t: ~F.array_contains(covered, t["place"]))
     left = F.when(room > 0, F.slice(open_, F.lit(1), F.greatest(room, F.lit(0)))).otherwise(F.array().cast("array<struct<text:string,place:int>>"))
     words = picked.select("query_id", F.inline(left)).select("query_id", F.lit("word").alias("kind"), F.col("place").alias("at"), "text", F.col("text").alias("surface"))
-    tried = rest.select("query_id", F.posexplode("corrections").alias("at", "text")).join(stored, F.col("text") == F.col("term"), "left_semi")
+    tried = rest.select("query_id", F.posexplode("corrections").alias("at", "text")).join(index, F.col("text") == F.col("term"), "left_semi")
     first = tried.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("at"))).filter("_n = 1")
     corrections = first.select("query_id", F.lit("correction").alias("kind"), "at", "text", F.col("text").alias("surface"))
     whole = exact.select("query_id", F.lit("exact").alias("kind"), F.lit(0).alias("at"), F.col("exact").alias("text"), F.col("exact").alias("surface"))
     groups = whole.unionByName(phrases).unionByName(words).unionByName(corrections)
-    return groups.join(stored, F.col("text") == F.col("term"), "left").select("query_id", "kind", F.col("at").alias("place"), "text", "surface", F.coalesce("known", F.lit(False)).alias("known"))
+    return groups.join(index, F.col("text") == F.col("term"), "left").select("query_id", "kind", F.col("at").alias("place"), "text", "surface", F.coalesce("known", F.lit(False)).alias("known"))
