@@ -206,7 +206,7 @@ def ranked(v: Column, ranks: dict[str, int], otherwise: int = -1) -> Column:
 
 def metadata_labels(v: Column) -> Column:
     """array<struct<text,kind>> of the bracketed codes in a text: frequency, level, register and exam labels."""
-    codes = F.transform(F.regexp_extract_all(v, F.lit(r"\[([^\]]+)\]"), F.lit(1)), F.trim)
+    codes = F.transform(F.regexp_extract_all(v, F.lit(r"\[([^\]]+)\]"), F.lit(1)), lambda x: F.trim(x))
 
     def of(c: Column) -> Column:
         up, found = F.upper(c), lambda kind, text: F.struct(text.alias("text"), F.lit(kind).alias("kind"))
