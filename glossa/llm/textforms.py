@@ -98,8 +98,8 @@ def _variant(c: str) -> str:
 
 
 VISIBLE, VARIANT = _Lazy(_visible), _Lazy(_variant)
-#: A run of letters with at least one of Greek, Cyrillic or Armenian.
-_WORD = re.compile(r"[^\W\d_⺀-鿿가-힣]*[Ͱ-֏][^\W\d_⺀-鿿가-힣]*")
+_FOREIGN = re.compile("[Ͱ-֏]")
+_WORD = re.compile(r"[^\W\d_⺀-鿿가-힣]+")
 _LATIN = re.compile("[A-Za-z]")
 _TO_LATIN = str.maketrans(LOOKALIKE)
 _TO_LATIN_AMONG = str.maketrans(LOOKALIKE | LOOKALIKE_AMONG_LATIN)
@@ -114,6 +114,8 @@ def _han(c: str) -> bool:
 
 def _word(m: re.Match) -> str:
     """A word of foreign letters is Latin in disguise if it mixes with Latin or consists of look-alikes only."""
+    if not _FOREIGN.search(m[0]):
+        return m[0]
     word = unicodedata.normalize("NFD", m[0])
     if _LATIN.search(word):
         return unicodedata.normalize("NFC", word.translate(_TO_LATIN_AMONG))
@@ -129,7 +131,10 @@ def _kana(m: re.Match) -> str:
 
 def unmasked(text: str) -> str:
     """Look-alikes put back into the script of their word."""
-    return _KANA_RUN.sub(_kana, _WORD.sub(_word, text.translate(_LATIN_FORM)))
+    text = text.translate(_LATIN_FORM)
+    if _FOREIGN.search(text):
+        text = _WORD.sub(_word, text)
+    return _KANA_RUN.sub(_kana, text)
 
 
 def canonical(text: str) -> str:
