@@ -265,7 +265,7 @@ def subjects_of(docs: DataFrame, key: str, text: str, tops: dict[str, str] = TOP
                 np.add.at(hits, (row[first][deals], best[deals]), 1)
                 share = hits / np.maximum(1, part["sentences"].to_numpy())[:, None]
                 d, k = np.nonzero(share >= SHARE)
-                yield pd.DataFrame({"id": part["id"].to_numpy()[d], "subject": [names[x] for x in k], "share": share[d, k]})
+                yield pd.DataFrame({"id": part["id"].to_numpy()[d], "subject": np.array(names, dtype=object)[k], "share": share[d, k]})
 
     found = small.select("id", "sentences", "terms").mapInPandas(judge, f"id {id_type}, subject string, share double")
     return out(found.groupBy("id", "subject").agg(F.max("share").alias("share")))
