@@ -1,9 +1,9 @@
-"""Subject areas of documents: distributed latent Dirichlet topics, mapped to subjects by inspected top terms.
+"""Subject areas of documents: distributed latent Dirichlet topics, mapped to subjects by inspected terms.
 
 Terms are words and, in Chinese, pairs of neighbouring characters, hashed to CELLS. The vocabulary is
 every term in at least RARE and at most COMMON of the documents, so it has at most (terms per
-document) / RARE entries, whatever the corpus. Each subject has its own topic, anchored by a prior on the terms that
-were found at the top of topics when they were inspected; SPARE more topics are free and take the general vocabulary.
+document) / RARE entries, whatever the corpus. Each subject has its own topic, anchored by a prior on terms
+that were picked by looking at the terms of labelled documents; SPARE more topics are free and take the general vocabulary.
 The variational step runs over all documents in STEPS rounds of which each takes its share of them;
 only sums by term reach the driver. A sentence deals with a subject if the subject's topic accounts for
 at least MASS of its terms and for more than any other subject's; a document's share is that of its sentences.
@@ -31,7 +31,7 @@ MASS = 1.0
 #: Share of sentences from which a document has a subject: between a passing mention (a tenth) and a quarter.
 SHARE = 0.17
 
-# Terms found at the top of each subject's topics, by inspection.
+# Terms typical of each subject, picked by hand from those most associated with its labels.
 TOP_TERMS = {
     "software": "database encrypted thread rebooted compiled cache debugged pointer packet login runtime server firmware parsed module deployed compiler browser kernel debugger 数据库 线程 编译器 缓存 调试 服务器 固件 模块 浏览器 内核 字符串 登录页 密钥 补丁 部署 重启",
     "science": "vacuum titrated plasma wavelength crystal ionised magnet isotope spectrum irradiated molecule solvent catalyst microscope hypothesis distilled electron enzyme 真空 滴定 波长 晶体 电离 磁铁 同位素 光谱 分子 溶剂 催化剂 显微镜 假说 蒸馏 粒子 轨道",
@@ -136,7 +136,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _anchors(vocabulary: np.ndarray, tops: dict[str, str]) -> np.ndarray:
-    """Which vocabulary entries are inspected top terms of which subject."""
+    """Which vocabulary entries are inspected terms of which subject."""
     out = np.zeros((len(tops), len(vocabulary)))
     for k, terms in enumerate(tops.values()):
         out[k, np.isin(vocabulary, term_ids(terms.replace(" ", "\n")))] = 1
