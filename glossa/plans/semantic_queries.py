@@ -95,27 +95,40 @@ def _text_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return parts.join(table(spark, sf, "texts").select("id", "scope_mask"), "id")
 
 
-def text_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The 20 texts of greatest dot product that share a scope with each text whose id is divisible by 50."""
+def _text_matches(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """The k texts of greatest dot product that share a scope with each text whose id is divisible by 50."""
     v = _text_vectors(spark, sf)
     asked = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "scope_mask")
-    return vectors.top_matches(asked, v, 20, mask=True).select("query_id", "id", "dot", "place")
+    return vectors.top_matches(asked, v, k, mask=True)
 
 
-def semantic_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries and evidence behind the nearest texts of each text whose id is divisible by 50."""
+def text_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 texts of greatest dot product that share a scope with each text whose id is divisible by 50."""
+    return _text_matches(spark, sf, 20).select("query_id", "id", "dot", "place")
+
+
+def _evidence(spark: SparkSession, sf: str, matches: DataFrame, limit: int) -> DataFrame:
     docs = _docs(spark, sf).filter("text_id is not null and entry_id is not null").withColumns(
         {"role": X.ranked(F.col("semantic_role"), reverse.C.RETRIEVAL_ROLE), "evidence_role": X.ranked(F.col("semantic_role"), reverse.C.EVIDENCE_ROLE)}
     )
-    return vectors.evidence_groups(text_topk(spark, sf), docs, "text_id")
+    return vectors.evidence_groups(matches, docs, "text_id", limit)
+
+
+def semantic_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries and evidence behind the nearest texts of each text whose id is divisible by 50."""
+    return _evidence(spark, sf, text_topk(spark, sf), 20)
 
 
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Reverse search for the texts whose id is divisible by 50, fused with the entries behind their nearest texts."""
+    """Reverse search for the texts whose id is divisible by 50, fused with the entries behind their nearest texts.
+
+    Windows of GROUP_LIMIT groups of either side are fused, and all that is fused is ranked; a page is a range of places.
+    """
     texts = table(spark, sf, "texts").filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("normalized_chinese_text").alias("query"))
     docs = _docs(spark, sf).filter("entry_id is not null")
-    lexical = reverse.search(texts, docs).groupBy("query_id", "entry_id").agg(F.max("tier").alias("tier"), F.min("group_place").alias("place"))
-    groups = semantic_groups(spark, sf)
+    window = reverse.C.GROUP_LIMIT
+    lexical = reverse.search(texts, docs, window).groupBy("query_id", "entry_id").agg(F.max("tier").alias("tier"), F.min("group_place").alias("place"))
+    groups = _evidence(spark, sf, _text_matches(spark, sf, vectors.pool_size(0, window)), window)
     evidence = F.struct(vectors.band(vectors.score(F.col("dot"))).alias("band"), F.lit(2).alias("ans"), F.lit(0).alias("sig"), F.lit(0).alias("all"))
     profile = F.sort_array(F.collect_list(evidence), asc=False)
     semantic = groups.groupBy("query_id", "entry_id").agg(profile.alias("profile"), F.min("group_place").alias("place"))
