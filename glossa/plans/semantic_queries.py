@@ -107,16 +107,17 @@ def text_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _text_matches(spark, sf, 20).select("query_id", "id", "dot", "place")
 
 
-def _evidence(spark: SparkSession, sf: str, matches: DataFrame, limit: int) -> DataFrame:
+def _evidence(spark: SparkSession, sf: str, limit: int) -> DataFrame:
+    """The first `limit` groups behind the pool of texts that such a page needs."""
     docs = _docs(spark, sf).filter("text_id is not null and entry_id is not null").withColumns(
         {"role": X.ranked(F.col("semantic_role"), reverse.C.RETRIEVAL_ROLE), "evidence_role": X.ranked(F.col("semantic_role"), reverse.C.EVIDENCE_ROLE)}
     )
-    return vectors.evidence_groups(matches, docs, "text_id", limit)
+    return vectors.evidence_groups(_text_matches(spark, sf, vectors.pool_size(0, limit)), docs, "text_id", limit)
 
 
 def semantic_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Entries and evidence behind the nearest texts of each text whose id is divisible by 50."""
-    return _evidence(spark, sf, text_topk(spark, sf), 20)
+    return _evidence(spark, sf, 20)
 
 
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,7 +129,7 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf).filter("entry_id is not null")
     window = reverse.C.GROUP_LIMIT
     lexical = reverse.search(texts, docs, window).groupBy("query_id", "entry_id").agg(F.max("tier").alias("tier"), F.min("group_place").alias("place"))
-    groups = _evidence(spark, sf, _text_matches(spark, sf, vectors.pool_size(0, window)), window)
+    groups = _evidence(spark, sf, window)
     evidence = F.struct(vectors.band(vectors.score(F.col("dot"))).alias("band"), F.lit(2).alias("ans"), F.lit(0).alias("sig"), F.lit(0).alias("all"))
     profile = F.sort_array(F.collect_list(evidence), asc=False)
     semantic = groups.groupBy("query_id", "entry_id").agg(profile.alias("profile"), F.min("group_place").alias("place"))

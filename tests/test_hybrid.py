@@ -1,5 +1,6 @@
 import numpy as np
 
+from glossa import constants as C
 from glossa.plans import semantic_queries as S
 
 DOCS = "id long, entry_id string, headword string, scope string, semantic_role string, english_text string, chinese_text string, section string, part string, owner_id string, path_json string, weight int, text_id long, imported_at int"
@@ -22,3 +23,21 @@ def test_hybrid_fuses_whole_windows(spark, tmp_path):
     found = S.hybrid_search(spark, sf).collect()
     assert sorted(r.place for r in found) == list(range(1, n + 1))
     assert sorted(r.lexical_place for r in found) == sorted(r.semantic_place for r in found) == list(range(1, n + 1))
+
+
+def test_groups_hold_the_evidence_of_the_whole_pool(spark, tmp_path):
+    r = np.random.default_rng(6)
+    n, roles = 120, list(C.RETRIEVAL_ROLE)
+    x = r.integers(60, 128, (n, 2))
+    sf = _folder(spark, tmp_path, [f"句{i}" for i in range(n)], x, [(f"e{r.integers(30):02}", roles[r.integers(7)], int(r.integers(n))) for _ in range(600)])
+    docs = spark.read.parquet(f"{sf}/search_documents.parquet").collect()
+    want = set()
+    for q in (0, 50, 100):
+        dots = [int(a) for a in x @ x[q]]
+        band = [round(float(np.float32(d / C.DOT_SCALE)) / C.BAND_WIDTH) for d in dots]
+        order = lambda ranks: lambda d: (-band[d.text_id], -ranks[d.semantic_role], -dots[d.text_id], d.entry_id, d.id)  # noqa: B023, E731
+        first = list(dict.fromkeys(d.entry_id for d in sorted(docs, key=order(C.RETRIEVAL_ROLE))))[:20]
+        for place, e in enumerate(first, 1):
+            best = sorted((d for d in docs if d.entry_id == e), key=order(C.EVIDENCE_ROLE))[:8]
+            want |= {(q, place, k, e, d.id, dots[d.text_id]) for k, d in enumerate(best, 1)}
+    assert {tuple(g) for g in S.semantic_groups(spark, sf).collect()} == want
