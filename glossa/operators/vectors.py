@@ -111,6 +111,59 @@ def evidence_groups(matches: DataFrame, docs: DataFrame, text_id: str, limit: in
     return ranked.select("query_id", "group_place", "evidence_place", "entry_id", "id", "dot")
 
 
+def merged_matches(matches: DataFrame) -> DataFrame:
+    """Up to eight matches of each (query_id, entry_id), with those of one key merged where both sides found the entry.
+
+    matches: (query_id, entry_id, id, key, role, evidence_role, protecting, tier, lexical_at, lexical_place, dot, semantic_at,
+    semantic_place), one row per match of a side, the other side's fields null. role and evidence_role are the ranks of the
+    semantic role, protecting says whether it can protect a lexical match; *_at is the match's place in its entry.
+    Gives (query_id, entry_id, key, strong, dot, answer, lexical_place, semantic_place), strong with the tier of a
+    protected lexical match and dot null without a semantic one.
+    """
+    entry = Window.partitionBy("query_id", "entry_id")
+    rows = matches.withColumns({"lexical_place": F.min("lexical_place").over(entry), "semantic_place": F.min("semantic_place").over(entry)})
+    both = F.col("lexical_place").isNotNull() & F.col("semantic_place").isNotNull()
+    rows = rows.withColumn("_one", F.when(~both, F.struct("id", F.col("dot").isNull().alias("lexical"))))
+    is_lexical, is_semantic = F.col("lexical_at").isNotNull(), F.col("semantic_at").isNotNull()
+    # lexical matches of one key: the role of the first with the highest evidence rank, in the order of a lexical group
+    group = F.struct(
+        (-F.col("evidence_role")).alias("a"), (~((F.col("role") >= 2) & (F.col("tier") >= 3))).alias("b"), (~(F.col("protecting") & (F.col("tier") >= 3))).alias("c"),
+        (-F.col("tier")).alias("d"), F.col("lexical_at").alias("e"), F.col("protecting").alias("protecting"), F.col("role").alias("role"),
+    )
+    one = rows.groupBy("query_id", "entry_id", "lexical_place", "semantic_place", "key", "_one").agg(
+        F.min(F.when(is_lexical, group)).alias("l"),
+        F.min(F.when(is_lexical, F.struct((-F.col("tier")).alias("d"), F.col("lexical_at").alias("e")))).alias("at"),
+        F.min(F.when(is_semantic, F.struct("semantic_at", "dot", "role", "evidence_role"))).alias("s"),
+    )
+    one = one.withColumns({
+        "tier": -F.col("at.d"), "dot": F.col("s.dot"), "answer": F.greatest("l.role", "s.role"), "evidence": F.greatest(-F.col("l.a"), F.col("s.evidence_role")),
+    })
+    one = one.withColumn("strong", F.when(F.col("l.protecting") & (F.col("tier") >= 3), F.col("tier")))
+    there = F.col("dot").isNotNull()
+    qualified = (F.col("answer") >= 2) & (there | F.coalesce(F.col("tier") >= 3, F.lit(False)))
+    order = [
+        F.desc(qualified), F.desc_nulls_last("strong"), F.asc_nulls_last(F.when(F.col("strong").isNotNull(), F.col("at.e"))), F.desc(there),
+        F.desc(band(score(F.col("dot")))), F.desc(F.when(there, F.col("answer"))), F.desc(F.when(there, F.col("evidence"))), F.desc("dot"), F.when(there, F.col("key")),
+        F.desc_nulls_last("tier"), F.asc_nulls_last("at.e"), "key", "s.semantic_at",
+    ]
+    kept = one.withColumn("_n", F.row_number().over(entry.orderBy(*order))).filter(F.col("_n") <= C.EVIDENCE_LIMIT)
+    return kept.select("query_id", "entry_id", "key", "strong", "dot", "answer", "lexical_place", "semantic_place")
+
+
+def profiled(matches: DataFrame) -> DataFrame:
+    """(query_id, entry_id, tier, profile, scores, lexical_place, semantic_place) of merged matches: the evidence an entry is ranked by.
+
+    tier: that of the strongest protected match. profile: array<struct<band,ans,sig,all>> of the semantic matches, best first,
+    scores: their dot products in the same order; both null without any. Hits of Latin words are zero.
+    """
+    there = F.col("dot").isNotNull()
+    item = F.struct((-band(score(F.col("dot")))).alias("band"), (-F.col("answer")).alias("ans"), (-F.col("dot")).alias("dot"), "key")
+    made = matches.groupBy("query_id", "entry_id", "lexical_place", "semantic_place").agg(F.max("strong").alias("tier"), F.array_sort(F.collect_list(F.when(there, item))).alias("p"))
+    quality = F.transform("p", lambda x: F.struct((-x["band"]).alias("band"), (-x["ans"]).alias("ans"), F.lit(0).alias("sig"), F.lit(0).alias("all")))
+    some = F.size("p") > 0
+    return made.select("query_id", "entry_id", "tier", F.when(some, quality).alias("profile"), F.when(some, F.transform("p", lambda x: -x["dot"])).alias("scores"), "lexical_place", "semantic_place")
+
+
 def fused(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
     """Lexical and semantic groups of a query brought together by entry and ranked.
 
@@ -119,9 +172,14 @@ def fused(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
     evidence by their profile, where arrays compare element by element and a longer one wins on an equal beginning.
     """
     both = lexical.withColumnRenamed("place", "lexical_place").join(semantic.withColumnRenamed("place", "semantic_place"), ["query_id", "entry_id"], "full")
+    return placed(both.withColumn("scores", F.lit(None).cast("array<int>"))).drop("scores")
+
+
+def placed(both: DataFrame) -> DataFrame:
+    """both (tier, profile, scores, lexical_place, semantic_place by query and entry) with place, in the order of fused(); scores decide between equal profiles."""
     strong = F.when(F.col("tier") >= 3, F.col("tier"))
     order = [
         F.desc(F.coalesce(strong, F.lit(0))), F.when(strong.isNotNull(), F.col("lexical_place")), F.desc(F.col("profile").isNotNull()), F.desc_nulls_last("profile"),
-        F.asc_nulls_last("semantic_place"), F.asc_nulls_last("lexical_place"), "entry_id",
+        F.desc_nulls_last("scores"), F.asc_nulls_last("semantic_place"), F.asc_nulls_last("lexical_place"), "entry_id",
     ]
     return both.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))

@@ -120,20 +120,29 @@ def semantic_groups(spark: SparkSession, sf: str) -> DataFrame:
     return _evidence(spark, sf, 20)
 
 
+def _match_columns() -> list[F.Column]:
+    """key, ranks of the role, and whether it protects a lexical match, of search documents."""
+    path = F.array_join(F.from_json("path_json", "array<string>"), "\x1f")
+    key = F.concat_ws("\x00", *(F.coalesce(c, F.lit("")) for c in (*map(F.col, ("scope", "english_text", "chinese_text", "section", "part", "owner_id")), path)))
+    role = F.col("semantic_role")
+    ranks = [X.ranked(role, reverse.C.RETRIEVAL_ROLE).alias("role"), X.ranked(role, reverse.C.EVIDENCE_ROLE).alias("evidence_role")]
+    return [key.alias("key"), *ranks, F.coalesce(role.isin("definition", "guidance"), F.lit(False)).alias("protecting")]
+
+
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     """Reverse search for the texts whose id is divisible by 50, fused with the entries behind their nearest texts.
 
-    Windows of GROUP_LIMIT groups of either side are fused, and all that is fused is ranked; a page is a range of places.
+    Windows of GROUP_LIMIT groups of either side are fused by their merged matches, and all that is fused is ranked; a page is a
+    range of places. tier is that of the strongest lexical match that protects its entry, a definition or guidance of tier 3 or 4.
     """
     texts = table(spark, sf, "texts").filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("normalized_chinese_text").alias("query"))
     docs = _docs(spark, sf).filter("entry_id is not null")
     window = reverse.C.GROUP_LIMIT
-    lexical = reverse.search(texts, docs, window).groupBy("query_id", "entry_id").agg(F.max("tier").alias("tier"), F.min("group_place").alias("place"))
-    groups = _evidence(spark, sf, window)
-    evidence = F.struct(vectors.band(vectors.score(F.col("dot"))).alias("band"), F.lit(2).alias("ans"), F.lit(0).alias("sig"), F.lit(0).alias("all"))
-    profile = F.sort_array(F.collect_list(evidence), asc=False)
-    semantic = groups.groupBy("query_id", "entry_id").agg(profile.alias("profile"), F.min("group_place").alias("place"))
-    return vectors.fused(lexical, semantic).select("query_id", "entry_id", "tier", "lexical_place", "semantic_place", "place")
+    lexical = reverse.search(texts, docs, window).select("query_id", "id", "tier", F.col("evidence_place").alias("lexical_at"), F.col("group_place").alias("lexical_place"))
+    semantic = _evidence(spark, sf, window).select("query_id", "id", "dot", F.col("evidence_place").alias("semantic_at"), F.col("group_place").alias("semantic_place"))
+    matches = lexical.unionByName(semantic, allowMissingColumns=True).join(docs.select("id", "entry_id", *_match_columns()), "id")
+    found = vectors.placed(vectors.profiled(vectors.merged_matches(matches)))
+    return found.select("query_id", "entry_id", "tier", "lexical_place", "semantic_place", "place")
 
 
 _Q = "q AS (SELECT vec_id AS query_id, [greatest(-127, least(127, round(x::DOUBLE / n * 127)))::INT FOR x IN embedding] AS q FROM (SELECT *, sqrt(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding])) AS n FROM embeddings WHERE embedding IS NOT NULL))"

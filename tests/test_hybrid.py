@@ -1,6 +1,7 @@
 import numpy as np
 
 from glossa import constants as C
+from glossa.operators import vectors
 from glossa.plans import semantic_queries as S
 
 DOCS = "id long, entry_id string, headword string, scope string, semantic_role string, english_text string, chinese_text string, section string, part string, owner_id string, path_json string, weight int, text_id long, imported_at int"
@@ -41,3 +42,24 @@ def test_groups_hold_the_evidence_of_the_whole_pool(spark, tmp_path):
             best = sorted((d for d in docs if d.entry_id == e), key=order(C.EVIDENCE_ROLE))[:8]
             want |= {(q, place, k, e, d.id, dots[d.text_id]) for k, d in enumerate(best, 1)}
     assert {tuple(g) for g in S.semantic_groups(spark, sf).collect()} == want
+
+
+def test_roles_decide_between_matches_of_a_band(spark, tmp_path):
+    docs = [("p", "expression", 0), ("w", "definition", 0), ("x", "definition", 1), ("x", "qualifier", 2), ("y", "definition", 1), ("y", "definition", 2)]
+    sf = _folder(spark, tmp_path, ["山坡上的陶工", "木桶", "书架"], [(127, 0)] * 3, docs)
+    found = sorted(S.hybrid_search(spark, sf).collect(), key=lambda r: r.place)
+    assert [(r.entry_id, r.tier) for r in found] == [("w", 4), ("y", None), ("x", None), ("p", None)]
+
+
+def test_matches_of_one_key_merge(spark):
+    schema = "query_id int, entry_id string, id long, key string, role int, evidence_role int, protecting boolean, tier int, lexical_at int, lexical_place int, dot int, semantic_at int, semantic_place int"
+    lexical = [(1, "a", 10, "k", 2, 3, True, 3, 1, 7, None, None, None), (1, "a", 11, "m", 2, 3, True, 1, 2, 7, None, None, None), (1, "l", 12, "k", 2, 3, True, 4, 1, 8, None, None, None)]
+    semantic = [(1, "a", 13, "k", 1, 1, False, None, None, None, 16129, 1, 2), (1, "a", 14, "n", 1, 1, False, None, None, None, 9000, 2, 2), (1, "s", 15, "k", 1, 1, False, None, None, None, 16129, 1, 3), (1, "s", 16, "k", 1, 1, False, None, None, None, 16129, 2, 3)]
+    many = [(1, "t", 20 + i, f"s{i}", 2, 3, True, 4, i, 9, None, None, None) for i in range(1, 9)] + [(1, "t", 30, "z", 2, 3, True, None, None, None, 16129, 1, 4)]
+    merged = vectors.merged_matches(spark.createDataFrame(lexical + semantic + many, schema))
+    got = {(r.entry_id, r.key, r.strong, r.dot, r.answer) for r in merged.collect() if r.entry_id == "a"}
+    assert got == {("a", "k", 3, 16129, 2), ("a", "m", None, None, 2), ("a", "n", None, 9000, 1)}
+    by = {r.entry_id: r for r in vectors.profiled(merged).collect()}
+    assert [tuple(e)[:2] for e in by["a"].profile] == [(200, 2), (112, 1)] and (by["a"].tier, by["a"].scores, by["a"].lexical_place, by["a"].semantic_place) == (3, [16129, 9000], 7, 2)
+    assert len(by["s"].profile) == 2 and by["l"].profile is None and by["l"].tier == 4
+    assert by["t"].profile is None and by["t"].tier == 4 and by["t"].semantic_place == 4
