@@ -124,18 +124,15 @@ def keys(found: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.array(x, dtype=np.int64) for x in zip(*out))
 
 
-def _block(text: list[str], bag: Counter[str], size: int) -> bool:
-    """Whether some contiguous block of text has just these units."""
-    if not size:
-        return True
-    window = Counter(text[:size])
-    for i in range(len(text) - size + 1):
-        if i:
-            window[text[i - 1]] -= 1
-            window[text[i + size - 1]] += 1
-        if all(window[u] == k for u, k in bag.items()):
-            return True
-    return False
+def _besides(text: list[str], bag: Counter[str]) -> set[tuple[str, ...]]:
+    """What blocks of up to WORD units hold besides bag, for each contiguous block of text that holds it."""
+    out: set[tuple[str, ...]] = set()
+    for size in range(bag.total(), WORD + 1):
+        for i in range(len(text) - size + 1):
+            block = Counter(text[i : i + size])
+            if bag <= block:
+                out.add(tuple(sorted((block - bag).elements())))
+    return out
 
 
 def match(a: list[str], b: list[str]) -> bool:
@@ -152,7 +149,7 @@ def match(a: list[str], b: list[str]) -> bool:
         return True
     if kind == "words":
         return max(na, nb) == 1 and min(len(a), len(b)) >= SHORT_WORDS
-    return max(na, nb) <= WORD and min(len(a), len(b)) >= SHORT_UNITS and _block(a, only_a, na) and _block(b, only_b, nb)
+    return max(na, nb) <= WORD and min(len(a), len(b)) >= SHORT_UNITS and not _besides(a, only_a).isdisjoint(_besides(b, only_b))
 
 
 def _prepared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

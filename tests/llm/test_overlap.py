@@ -45,3 +45,10 @@ def test_rule():
     assert match(u(a), u(a.replace("灵巧的", "")))
     assert not match(u(a), u(a.replace("牧羊人", "外甥女").replace("书架", "台灯")))
     assert not match(u("the old clerk sold a bell"), u("the shy clerk sold a lamp"))
+
+
+def test_exchanged_words_may_share_a_character():
+    u = lambda q: unframed(units(q))
+    a = "弯曲的牧羊人一小时内来到花园高兴地盖住灵巧的书架"
+    assert match(u(a), u(a.replace("一小时内", "半小时后")))
+    assert not match(u(a), u(a.replace("一小时内", "半小时后").replace("书架", "台灯")))
