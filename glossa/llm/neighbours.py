@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from glossa.session import stored
 SAMPLE, MOST_LISTS = 100_000, 65_536
 #: Rows to a list before copies; rows on one side of a scored block.
 LIST, BLOCK = 150, 4_000
-#: Up to so many centroids a plain scan is faster than the graph.
-SMALL = 1024
+#: Up to so many centroids a plain scan is faster than the graph, as it is where one in WIDE or more are asked for; similarities are made for CELLS at a time.
+SMALL, WIDE, CELLS = 1024, 30, 1 << 24
 LINKS, BEAM, ENTRIES = 20, 30, 5
 
 
@@ -77,9 +78,12 @@ class Graph:
     def nearest(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """(centroids, similarity) of up to `most` near centroids of each unit vector, best first."""
         n = len(self.heads)
-        if n <= SMALL:
+        if n <= SMALL or most * WIDE >= n:
+            most, rows = min(most, n), max(1, CELLS // n)
+            if len(x) > rows:
+                parts = [self.nearest(x[a : a + rows], most) for a in range(0, len(x), rows)]
+                return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             sim = x @ self.heads.T
-            most = min(most, n)
             best = np.argpartition(-sim, most - 1, axis=1)[:, :most] if most < n else np.tile(np.arange(n), (len(x), 1))
             s = np.take_along_axis(sim, best, 1)
             order = np.argsort(-s, axis=1)
@@ -109,11 +113,11 @@ class Graph:
         order = np.argsort(-s, axis=1)[:, :most]
         return np.take_along_axis(ids, order, 1), np.take_along_axis(s, order, 1)
 
-    def lists(self, x: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of every list whose centroid lies within `ratio` of the nearest one's distance, at most `most` a row."""
+    def lists(self, x: np.ndarray, most: int, ratio: float, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of every list whose centroid lies within `ratio` of the nearest one's distance, at least `least` and at most `most` a row."""
         found, s = self.nearest(x, most)
         d = np.sqrt(np.maximum(0, 2 - 2 * s))
-        near = (d <= ratio * np.maximum(d[:, :1], 1e-3)) & (s > -2)
+        near = ((d <= ratio * np.maximum(d[:, :1], 1e-3)) | (np.arange(d.shape[1]) < least)) & (s > -2)
         row, place = np.nonzero(near)
         return row, found[row, place]
 
@@ -135,11 +139,12 @@ def _matrix(values) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=np.int8).reshape(len(values), -1)
 
 
-def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, queries=None, copies: tuple[int, float] = (6, 1.25), visits: tuple[int, float] = (6, 1.25), list_rows: int = LIST) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, queries=None, copies: tuple[int, float] = (6, 1.25), visits: tuple[int, float] = (6, 1.25), list_rows: int = LIST, share: float = 0.0) -> DataFrame:
     """(id, neighbour, cosine): up to k most similar other vectors of every query, none below `least`, ties to the smaller id.
 
     vectors: (id long, v binary of signed bytes, all of one width). queries: condition on id; default all.
-    copies, visits: most lists and distance ratio for a vector and for a query. Null ids or vectors and zero
+    copies, visits: most lists and distance ratio for a vector and for a query; share: a query visits at least this
+    share of all lists, however distant, so that what it finds doesn't fall with their number. Null ids or vectors and zero
     vectors take no part; a repeated id counts once; an empty table gives no rows. Similarity is exact,
     the choice of lists is not: a neighbour in none of a query's lists is missed.
     """
@@ -157,23 +162,25 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, queries=None
     rate = min(1.0, SAMPLE / total)
     taken = front.select("v").sample(rate, 5) if rate < 1 else front.select("v")
     sample = unit(_matrix([r.v for r in taken.limit(SAMPLE).collect()] or [front.first().v]))
-    graph = spark.sparkContext.broadcast(Graph(centroids(sample, min(MOST_LISTS, max(1, total // list_rows), len(sample)))))
+    heads = centroids(sample, min(MOST_LISTS, max(1, total // list_rows), len(sample)))
+    wide = math.ceil(share * len(heads))
+    graph = spark.sparkContext.broadcast(Graph(heads))
 
-    def assign(role: int, most: int, ratio: float):
+    def assign(role: int, most: int, ratio: float, least: int = 0):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for a in range(0, len(pdf), 2048):
                     part = pdf.iloc[a : a + 2048]
-                    row, at = graph.value.lists(unit(_matrix(part["v"].tolist())), most, ratio)
+                    row, at = graph.value.lists(unit(_matrix(part["v"].tolist())), most, ratio, least)
                     yield pd.DataFrame({"list": at.astype(np.int32), "role": np.int8(role), "rep": part["rep"].to_numpy()[row], "v": part["v"].to_numpy()[row]})
 
         return run
 
     schema = "list int, role byte, rep long, v binary"
-    if queries is None and copies == visits:
+    if queries is None and copies == visits and not wide:
         postings = front.select("rep", "v").mapInPandas(assign(3, *copies), schema)
     else:
-        postings = front.select("rep", "v").mapInPandas(assign(1, *copies), schema).unionByName(wanted.select("rep", "v").mapInPandas(assign(2, *visits), schema))
+        postings = front.select("rep", "v").mapInPandas(assign(1, *copies), schema).unionByName(wanted.select("rep", "v").mapInPandas(assign(2, max(visits[0], wide), visits[1], wide), schema))
     postings = stored(postings, "knn-lists")
 
     # a list of more than BLOCK rows on a side is scored as a grid of blocks; there are at most MOST_LISTS lists

@@ -61,3 +61,16 @@ def test_blocks(spark):
     rows = [(10, 2, b"\x01\x02\xff\xfe"), (12, 1, b"\x03\x04"), (13, 2, b"\x00"), (None, 1, b"ab"), (20, 1, None), (30, 0, b"")]
     df = spark.createDataFrame(rows, "f long, n int, d binary")
     assert {(r.id, bytes(r.v)) for r in nb.blocks_to_vectors(df, "f", "n", "d", 2).collect()} == {(10, b"\x01\x02"), (11, b"\xff\xfe"), (12, b"\x03\x04")}
+
+
+def test_visits_grow_with_the_lists(spark):
+    x = np.random.default_rng(8).integers(-90, 90, (2600, 16)).astype(np.int8)
+    want = {(i, j) for i, js in _brute(x, 5, -1).items() if i % 50 == 0 for j, _ in js}
+    recall = []
+    for share in (0.0, 0.5):
+        found = nb.neighbours(_frame(spark, x), 5, queries="id % 50 = 0", copies=(1, 1.0), visits=(2, 9.0), list_rows=2, share=share).collect()
+        recall.append(len({(a.id, a.neighbour) for a in found} & want) / len(want))
+    assert recall[0] < 0.5 and recall[1] > 0.9
+    graph = nb.Graph(nb.unit(x))
+    found, _ = graph.nearest(nb.unit(x[:9]), 260)
+    assert all(set(a) == set(b) for a, b in zip(found, np.argsort(-(nb.unit(x[:9]) @ graph.heads.T), axis=1)[:, :260]))
