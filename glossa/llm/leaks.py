@@ -7,7 +7,8 @@ block and never shuffled. In each batch of documents:
 2. hits of a document and an item are counted in overlapping bands of the diagonal x - y, and a run of
    hits without a gap of more than GAP makes a region. By the q-gram lemma a region of w characters with k
    exchanged words keeps w - q + 1 - k (q + word - 1) grams; regions below the bound for one
-   exchange every SPAN characters are dropped, as are those lighter than LEAST; the others are extended as far as the characters agree;
+   exchange every SPAN characters are dropped; the others are extended as far as the characters agree, and then those lighter
+   than LEAST are dropped unless they hold a whole sentence of the item;
 3. a pair whose regions cover SHARE of the item is verified: each region must align within its band at a cost of at most COST of its length.
 """
 
@@ -20,12 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.streams import grams, is_han, slices, stream
+from glossa.llm.streams import grams, is_han, sentence_bounds, slices, stream
 
 Q_HAN, Q_LETTERS = 6, 16
 #: By script of the item, Han first: longest gap between hits of a region, characters to one exchanged word, and the word's length.
 GAP, SPAN, EXCHANGED = (20, 45), (12, 26), (3, 8)
-#: Shortest region, where a letter weighs 1 and a Han character HAN.
+#: Shortest region that holds no whole sentence, where a letter weighs 1 and a Han character HAN.
 LEAST, HAN = 40, 3
 BAND = 32
 SHARE, COST = 0.28, 0.25
@@ -40,6 +41,7 @@ class Index:
     def __init__(self, texts: list[str]):
         self.codes, self.starts = stream(texts)
         self.lengths = np.diff(self.starts)
+        self.bounds = sentence_bounds(texts)
         mass = np.concatenate([[0], np.cumsum(is_han(self.codes))])
         self.mass = mass
         self.letters = ((HAN + 1) * (mass[self.starts[1:]] - mass[self.starts[:-1]]) < self.lengths).astype(np.int64)
@@ -95,9 +97,7 @@ def regions(index: Index, doc, item, x, y, q) -> np.ndarray:
         lang = index.letters[i[first]]
         w, gram = y1 - y0, np.array([Q_HAN, Q_LETTERS])[lang]
         lost = (w // np.asarray(SPAN)[lang]) * (gram + np.asarray(EXCHANGED)[lang] - 1)
-        start = index.starts[i[first]]
-        weight = w + (HAN - 1) * (index.mass[start + y1] - index.mass[start + y0])
-        keep = (weight >= LEAST) & (count >= np.maximum(1, w - gram + 1 - lost))
+        keep = count >= np.maximum(1, w - gram + 1 - lost)
         out.append(np.stack([d[first], i[first], x0, x1, y0, y1], axis=1)[keep])
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 6), dtype=np.int64)
 
@@ -117,6 +117,14 @@ def extended(codes: np.ndarray, starts: np.ndarray, index: Index, found: np.ndar
     return np.stack([d, i, x0, x1, y0, y1], axis=1)
 
 
+def weighty(index: Index, found: np.ndarray) -> np.ndarray:
+    """Whether a region weighs LEAST or holds a whole sentence of its item, however short."""
+    start = index.starts[found[:, 1]]
+    y0, y1 = start + found[:, 4], start + found[:, 5]
+    first, last = np.searchsorted(index.bounds, y0), np.searchsorted(index.bounds, y1, side="right") - 1
+    return (y1 - y0 + (HAN - 1) * (index.mass[y1] - index.mass[y0]) >= LEAST) | (last > first)
+
+
 def covered(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, item, characters of the item under the union of the pair's regions)."""
     if not len(found):
@@ -173,6 +181,7 @@ def leaked(index: Index, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.n
     """(place of the text, place of the item, share of the item covered) of every leak in a batch."""
     codes, starts = stream(texts)
     found = extended(codes, starts, index, regions(index, *index.hits(codes, starts)))
+    found = found[weighty(index, found)]
     d, i, chars = covered(found)
     enough = chars >= SHARE * index.lengths[i]
     pairs = d[enough] * len(index.lengths) + i[enough]

@@ -21,6 +21,8 @@ _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&#?[A-Za-z0-9]{1,8};")
 _LONG = {c: f for c in map(chr, (*range(0x2160, 0x2180), *range(0xFB00, 0xFB07), 0xDF, 0xE6, 0x153)) if len(f := unicodedata.normalize("NFKC", c).casefold()) > 1}
 _LONG_RE = re.compile(f"[{''.join(_LONG)}]")
 
+_ENDING = np.array([ord(c) for c in ".!?;…\n。！？；．"], dtype=np.uint32)
+
 
 def _compared(c: str) -> int:
     """The code that stands for a character, 0 to leave it out."""
@@ -46,21 +48,32 @@ def _table() -> np.ndarray:
     return codes
 
 
-def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes of all texts one after another, start of each text in it and the end of the last)."""
+def _raw(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters of all texts without markup, end of each text in them after a 0, code of each character)."""
     clean = []
     for t in texts:
         if not t.isascii() and _LONG_RE.search(t):
             t = _LONG_RE.sub(lambda m: _LONG[m[0]], t)
         clean.append(_TAG.sub(" ", t) if "<" in t or "&" in t else t)
     raw = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    ends = np.cumsum([0, *map(len, clean)])
     table = _table()
     codes = table[raw] if not raw.size or raw.max() < table.size else np.where(raw < table.size, table[np.minimum(raw, table.size - 1)], raw)
+    return raw, np.cumsum([0, *map(len, clean)]), codes
+
+
+def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of all texts one after another, start of each text in it and the end of the last)."""
+    _, ends, codes = _raw(texts)
     kept = np.flatnonzero(codes)
     return codes[kept], np.searchsorted(kept, ends)
 
 
+def sentence_bounds(texts: list[str]) -> np.ndarray:
+    """Places in stream(texts) where a text, a sentence or a clause before a semicolon begins or ends, in order."""
+    raw, ends, codes = _raw(texts)
+    return np.unique(np.searchsorted(np.flatnonzero(codes), np.concatenate([ends, np.flatnonzero(np.isin(raw, _ENDING))])))
+
+
 def slices(pdf: pd.DataFrame, text: str, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """A batch in parts of about so many characters; a longer text is a part of its own."""
     total = pdf[text].str.len().to_numpy().cumsum()

@@ -47,3 +47,11 @@ def test_batches_agree_with_single_texts():
     items = [" ".join(EN), " ".join(EN[:3])]
     alone = {(d, i) for d, t in enumerate(texts) for _, i in _pairs(items, [t])}
     assert _pairs(items, texts) == alone and alone
+
+
+def test_short_sentences_count_together():
+    item = "他昨天修好了钟；她在河边种花；我们都忘了带伞；孩子们唱歌去了；老人数着星星；邻居借走梯子。"
+    clauses = [c for c in item.replace("。", "；").split("；") if c]
+    apart = ZH[:30].join([clauses[4], clauses[1], clauses[3], clauses[0]])
+    assert _pairs([item], [FILL + apart + FILL]) == {(0, 0)}
+    assert _pairs([item], [FILL + clauses[2] + FILL]) == set()
