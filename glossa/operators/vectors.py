@@ -13,6 +13,8 @@ from glossa import constants as C
 
 #: Query vectors to a block: all rows are scored against one block after the other, so what is broadcast is bounded.
 QUERY_BLOCK = 4096
+#: Width of a step in which dot products are counted, and steps on either side of zero.
+STEP, EDGES = 64, 256
 
 
 def norm(v: Column) -> Column:
@@ -54,7 +56,8 @@ def top_matches(queries: DataFrame, vectors: DataFrame, k: int, mask: bool = Fal
 
     queries: (query_id, q array<int>[, scope_mask]); vectors: (id, v array<int>[, scope_mask]), where with mask=True a vector
     counts only if it shares a bit with the query. The queries are a stated set and go out in blocks of QUERY_BLOCK;
-    each Arrow batch of vectors keeps its k best per query before anything is shuffled.
+    a first pass counts the dot products of each query in steps, which gives a value that its k-th best reaches, and only what
+    reaches it is shuffled.
     """
     spark = vectors.sparkSession
     cols = ["query_id", "q"] + ["scope_mask"] * mask
@@ -67,7 +70,8 @@ def top_matches(queries: DataFrame, vectors: DataFrame, k: int, mask: bool = Fal
         part = numbered.filter(F.col("_block") == b).toPandas()
         shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(), np.stack(part["q"]).astype(np.float32), part["scope_mask"].to_numpy() if mask else None))
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def scored(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            """(number of the first query, ids in order, dot products), -inf where the masks share no bit."""
             names, q, wanted = shared.value
             for pdf in batches:
                 if not len(pdf):
@@ -79,12 +83,34 @@ def top_matches(queries: DataFrame, vectors: DataFrame, k: int, mask: bool = Fal
                     d = q[a : a + 256] @ v.T  # exact: sums of products of bytes stay below 2^24
                     if wanted is not None:
                         d[(wanted[a : a + 256, None] & pdf["scope_mask"].to_numpy()[order][None, :]) == 0] = -np.inf
-                    best = np.argsort(-d, axis=1, kind="stable")[:, :k]
-                    top = np.take_along_axis(d, best, 1)
-                    row, col = np.nonzero(np.isfinite(top))
-                    yield pd.DataFrame({"query_id": names[a : a + 256][row], "id": ids[best[row, col]], "dot": top[row, col].astype(np.int32)})
-
-        out = out.unionByName(vectors.select("id", "v", *["scope_mask"] * mask).mapInPandas(scan, schema))
+                    yield a, ids, d
+
+        def count(batches: Iterator[pd.DataFrame], shared=shared, scored=scored) -> Iterator[pd.DataFrame]:
+            names = shared.value[0]
+            total = np.zeros((len(names), 2 * EDGES + 1), dtype=np.int64)
+            for a, _, d in scored(batches):
+                row, col = np.nonzero(np.isfinite(d))
+                edge = np.clip(np.floor(d[row, col] / STEP), -EDGES, EDGES).astype(np.int64) + EDGES
+                total[a : a + len(d)] += np.bincount(row * total.shape[1] + edge, minlength=len(d) * total.shape[1]).reshape(len(d), -1)
+            above = np.cumsum(total[:, ::-1], axis=1)[:, ::-1]
+            row, edge = np.nonzero((total > 0) & (above - total < k))  # lower ones can't hold the k-th of all
+            yield pd.DataFrame({"q": row.astype(np.int32), "edge": (edge - EDGES).astype(np.int32), "n": total[row, edge]})
+
+        side = vectors.select("id", "v", *["scope_mask"] * mask)
+        upto = F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("edge")))
+        counted = side.mapInPandas(count, "q int, edge int, n long").groupBy("q", "edge").agg(F.sum("n").alias("n")).withColumn("upto", upto)
+        edges = counted.filter(F.col("upto") >= k).groupBy("q").agg(F.max("edge").alias("edge")).toPandas()
+        least_dot = np.full(len(part), -np.inf, dtype=np.float32)
+        least_dot[edges["q"]] = np.where(edges["edge"] > -EDGES, edges["edge"] * STEP, -np.inf)
+        bound = spark.sparkContext.broadcast(least_dot)
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared, scored=scored, bound=bound) -> Iterator[pd.DataFrame]:
+            names = shared.value[0]
+            for a, ids, d in scored(batches):
+                row, col = np.nonzero(np.isfinite(d) & (d >= bound.value[a : a + len(d), None]))
+                yield pd.DataFrame({"query_id": names[a : a + len(d)][row], "id": ids[col], "dot": d[row, col].astype(np.int32)})
+
+        out = out.unionByName(side.mapInPandas(scan, schema))
     if least is not None:
         out = out.filter(F.col("dot") / C.DOT_SCALE >= least)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("dot"), "id"))

@@ -90,8 +90,9 @@ def _bytes(v: pd.Series) -> pd.Series:
 def _text_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """(id, v, scope_mask) of the texts from the blocks that hold their vectors."""
     blocks = table(spark, sf, "vector_blocks").filter("octet_length(data) = 64 * vector_count")
-    rows = blocks.select("first_vector_id", "data", F.explode(F.sequence(F.lit(0), F.col("vector_count") - 1)).alias("i"))
-    parts = rows.select((F.col("first_vector_id") + F.col("i")).alias("id"), _bytes(F.substring("data", F.col("i") * 64 + 1, F.lit(64))).alias("v"))
+    cut = lambda i: F.struct((F.col("first_vector_id") + i).alias("id"), F.substring("data", i * 64 + 1, F.lit(64)).alias("v"))
+    rows = blocks.select(F.inline(F.transform(F.sequence(F.lit(0), F.col("vector_count") - 1), cut)))  # a block isn't carried along with each of its rows
+    parts = rows.select("id", _bytes("v").alias("v"))
     return parts.join(table(spark, sf, "texts").select("id", "scope_mask"), "id")
 
 
@@ -109,7 +110,8 @@ def text_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def _evidence(spark: SparkSession, sf: str, limit: int) -> DataFrame:
     """The first `limit` groups behind the pool of texts that such a page needs."""
-    docs = _docs(spark, sf).filter("text_id is not null and entry_id is not null").withColumns(
+    there = table(spark, sf, "search_documents").select("id", "entry_id", "headword", "weight", "semantic_role", "text_id").filter("id is not null and text_id is not null and entry_id is not null")
+    docs = there.distinct().withColumns(
         {"role": X.ranked(F.col("semantic_role"), reverse.C.RETRIEVAL_ROLE), "evidence_role": X.ranked(F.col("semantic_role"), reverse.C.EVIDENCE_ROLE)}
     )
     return vectors.evidence_groups(_text_matches(spark, sf, vectors.pool_size(0, limit)), docs, "text_id", limit)
