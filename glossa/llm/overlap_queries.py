@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 from glossa.llm.overlap import cross_pairs
 from glossa.session import table
 
-_SIDE = F.when(F.col("split") == "training", "train").when(F.col("split").isin("development", "holdout"), "eval")
+
+def _side():
+    """Side of a case by its split; made when a query runs, for a column needs a session."""
+    return F.when(F.col("split") == "training", "train").when(F.col("split").isin("development", "holdout"), "eval")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = cross_pairs(table(spark, sf, "threshold_cases"), "id", _SIDE, "query")
+    pairs = cross_pairs(table(spark, sf, "threshold_cases"), "id", _side(), "query")
     return pairs.filter("eval_key <> train_key").select(F.least("eval_key", "train_key").alias("id_a"), F.greatest("eval_key", "train_key").alias("id_b")).distinct()
 
 
 def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs, evaluation cases and training cases by evaluation split and by the source of the training case."""
     cases = table(spark, sf, "threshold_cases")
-    pairs = cross_pairs(cases, "id", _SIDE, "query").filter("eval_key <> train_key")
+    pairs = cross_pairs(cases, "id", _side(), "query").filter("eval_key <> train_key")
     ev = cases.filter("split in ('development', 'holdout')").select(F.col("id").alias("eval_key"), "split").distinct()
     tr = cases.filter("split = 'training'").select(F.col("id").alias("train_key"), "source").distinct()
     joined = pairs.join(ev, "eval_key").join(tr, "train_key")
