@@ -1,16 +1,23 @@
-"""Subject areas of documents: distributed latent Dirichlet topics, mapped to subjects by inspected terms.
-
-Terms are words and, in Chinese, pairs of neighbouring characters, hashed to CELLS. The vocabulary is
-every term in at least RARE and at most COMMON of the documents, so it has at most (terms per
-document) / RARE entries, whatever the corpus. Each subject has its own topic, anchored by a prior on terms
-that were picked by looking at the terms of labelled documents; SPARE more topics are free and take the general vocabulary.
-The variational step runs over all documents in STEPS rounds of which each takes its share of them;
-only sums by term reach the driver. A sentence deals with a subject if the subject's topic accounts for
-at least MASS of its terms and for more than any other subject's; a document's share is that of its sentences.
+"""Subject areas of documents: free latent Dirichlet topics over all documents, mapped to subjects by inspected terms.
+
+Terms are words and, in Chinese, pairs of neighbouring characters, hashed to CELLS. The vocabulary is every
+term in at least RARE and at most COMMON of the documents whose residual inverse document frequency is at least
+CONTENT: words that, once they occur in a text, occur again in it, as function words and scenery don't. Its size is at
+most (terms per document) / RARE, whatever the corpus.
+
+The topics are free: no term is tied to any of them. They start from a fit on START documents (a bounded sample) and are then
+fitted by variational inference over all documents, in STEPS rounds of which each takes its share; only sums
+by term reach the driver. SEEN holds, for each subject, some of the terms that stood at the top of topics fitted in this way and that a
+reader gave to the subject; a topic belongs to the subject with most of these terms among its own TOP first ones.
+
+A document's topic proportions are taken over its sentences: the inference, under the document's own mixture, gives
+the terms of a sentence to topics, and a sentence counts for the subject to which it gives most of them, at least MASS.
+Subjects that reach SHARE of the sentences are the document's.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -19,33 +26,37 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.streams import _compared, _table, is_han, slices
+from glossa.llm.streams import _table, is_han, slices
 from glossa.llm.textforms import _ignorable
 from glossa.session import stored
 
 CELLS = 1 << 20
-RARE, COMMON = 0.002, 0.12
-SPARE, STEPS, INNER = 6, 4, 4
-ALPHA, ETA, ANCHOR = 0.08, 0.02, 0.02
-MASS = 1.0
+RARE, COMMON, CONTENT = 0.002, 0.12, 0.2
+#: Topics, documents of the sample they start from and rounds over it, rounds over all documents, rounds of a document's inference.
+TOPICS, START, START_ROUNDS, STEPS, INNER = 60, 3000, 20, 4, 4
+ALPHA, ETA = 0.03, 0.01
+#: First terms of a topic that decide its subject, and how many inspected ones there must be.
+TOP, NAMED = 20, 2
+#: Terms of a sentence that must fall to a subject: more than one, for a single word can be taken from any subject.
+MASS = 1.2
 #: Share of sentences from which a document has a subject: between a passing mention (a tenth) and a quarter.
 SHARE = 0.17
 
-# Terms typical of each subject, picked by hand from those most associated with its labels.
-TOP_TERMS = {
-    "software": "database encrypted thread rebooted compiled cache debugged pointer packet login runtime server firmware parsed module deployed compiler browser kernel debugger 数据库 线程 编译器 缓存 调试 服务器 固件 模块 浏览器 内核 字符串 登录页 密钥 补丁 部署 重启",
-    "science": "vacuum titrated plasma wavelength crystal ionised magnet isotope spectrum irradiated molecule solvent catalyst microscope hypothesis distilled electron enzyme 真空 滴定 波长 晶体 电离 磁铁 同位素 光谱 分子 溶剂 催化剂 显微镜 假说 蒸馏 粒子 轨道",
-    "medicine": "scalpel bandage fever thermometer vaccinated pulse tumour anaesthetic clinic artery surgeon lung sutured infection vaccine diagnosed allergy sedated inoculated 绷带 发烧 脉搏 肿瘤 麻醉 诊所 动脉 外科医生 肺部 缝合 感染 疫苗 诊断 过敏 接种 药片 剂量",
-    "law": "convicted tribunal acquitted prosecuted indicted warrant bail testimony verdict affidavit jury lawsuit statute subpoenaed solicitor plaintiff custody felony 法庭 赦免 起诉 逮捕令 保释 口供 判决 陪审团 诉讼 法令 传唤 律师 原告 重罪 公证 辩护",
-    "sport": "volleyed coached goalkeeper striker stadium medal javelin umpire hurdle sprinter wicket scoreboard dribbled racket trophy referee marathon tournament 守门员 前锋 体育场 奖牌 跨栏 短跑选手 记分牌 球拍 奖杯 裁判 马拉松 锦标赛 联赛 扣杀 点球 教练",
-    "finance": "invoiced portfolio invested currency depreciated invoice deficit ledger loan shareholder creditor subsidy devalued refinanced inflation broker dividend amortised mortgage underwritten 投资组合 货币 贬值 发票 赤字 账簿 贷款 股东 债权人 补贴 通货膨胀 经纪人 股息 抵押 利率 债券",
-    "music": "bassoon orchestra transposed tempo plucked harmonised soprano harmony chord hummed sonata melody strummed cello violin overture quartet refrain rhythm flute choir 女高音 合唱团 和弦 哼唱 奏鸣曲 旋律 弹拨 大提琴 小提琴 序曲 节奏 长笛 和声 音阶 伴奏 变调 琴弦",
-    "cooking": "roasted whisk marinade kneaded garlic stew noodle casserole braised grated recipe dough batter vinegar dessert marinated skillet saucepan broth dumpling yeast 腌料 揉捏 大蒜 炖锅 砂锅 红烧 食谱 面团 面糊 米醋 煎锅 高汤 饺子 酵母 烤箱 打蛋器 酥皮",
-    "farming": "livestock grazed tractor hay barley turnip orchard irrigated ploughed harvested sheepdog fertiliser threshed seedling silo sowed pasture poultry wheat cattle dairy 牲畜 放牧 拖拉机 干草 大麦 果园 灌溉 耕种 牧羊犬 肥料 脱粒 秧苗 播种 牧场 家禽 小麦 奶牛",
-    "seafaring": "sailed rudder sailor anchor captain gale salvaged rigging lifebuoy tide buoy harbour voyage keel mast ballast lifeboat hull moored capsized cargo 水手 船锚 船长 打捞 索具 潮水 浮标 港口 航程 龙骨 桅杆 救生艇 船体 停泊 倾覆 货舱 甲板 船舵",
-    "warfare": "shelled disarmed garrison battalion regiment convoy armistice ambush besieged bayonet artillery trench truce sentry rifle grenade infantry recruit platoon fortress cavalry 缴械 驻军 步兵 兵团 护航队 休战 伏击 围攻 刺刀 火炮 战壕 哨兵 步枪 手榴弹 新兵 要塞 骑兵",
-    "building": "lintel rafter excavator insulated welded riveted joist plastered scaffold blueprint demolished cemented mortared tiled plumbing crane brick girder architect insulation gable 椽子 开挖 隔热层 焊接 铆接 托梁 抹灰 脚手架 蓝图 拆除 水泥 瓦片 起重机 砖块 钢梁 建筑师 山墙 石膏",
-}
+# Inspected top terms of freely fitted topics by the subject that a reader gave the topic.
+SEEN = {
+    "software": "module debugger firmware kernel packet compiler browser 数据库 编译器 浏览器 固件 模块 内核 线程",
+    "science": "electron solvent wavelength titration spectrum catalyst isotope 催化剂 晶体 光谱 电荷 真空 波长 同位素",
+    "medicine": "tablet symptom bandage nurse infection vaccine thermometer 感染 症状 剂量 病房 脉搏 诊所 绷带",
+    "law": "warrant tribunal witness testimony affidavit verdict jury 原告 证人 逮捕令 保释 判决 律师 法庭",
+    "sport": "trophy tournament umpire wicket stadium hurdle goalkeeper 教练 奖杯 跨栏 点球 马拉松 球拍 守门员",
+    "finance": "tax dividend creditor portfolio inflation shareholder mortgage 贷款 抵押 投资 审计 赤字 利率 债券",
+    "music": "harmony overture melody refrain violin choir soprano 小提琴 长笛 节拍 音阶 奏鸣曲 合唱团 和弦",
+    "cooking": "garlic noodle recipe marinade dough yeast casserole 打蛋器 食谱 砂锅 面糊 腌料 煎锅 面团",
+    "farming": "pasture poultry tractor cattle fertiliser livestock orchard 灌溉 小麦 牧场 家禽 谷仓 干草 果园",
+    "seafaring": "anchor rudder voyage keel hull compass lifeboat 船舵 浮标 龙骨 港口 船锚 罗盘 桅杆",
+    "warfare": "infantry garrison armistice platoon trench artillery cavalry 伏击 哨兵 火炮 步兵 要塞 战壕 手榴弹",
+    "building": "excavator lintel blueprint architect scaffold girder plumbing 钢梁 隔热层 瓦片 水泥 起重机 椽子 砖块",
+}
 
 _END = np.array([ord(c) for c in ".!?。！？\n"], dtype=np.uint32)
 
@@ -61,6 +72,9 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
+#: Words and pairs of Chinese characters as they are written, overlapping.
+_WRITTEN = re.compile(r"(?=([\u3400-\u9fff]{2}))|([^\W\d_\u3400-\u9fff]+)")
+
 _B = 0x9E3779B97F4A7C15
 _B_INVERSE = pow(_B, -1, 1 << 64)
 
@@ -125,38 +139,57 @@ def term_ids(text: str) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total, docs = np.zeros(CELLS, dtype=np.int64), 0
+    docs, times, read = np.zeros(CELLS, dtype=np.int64), np.zeros(CELLS, dtype=np.int64), 0
     for pdf in batches:
         for part in slices(pdf, "text"):
             doc, _, term, _ = tokens(part["text"].tolist())
-            total += np.bincount(np.unique(doc * CELLS + term) % CELLS, minlength=CELLS)
-            docs += len(part)
-    there = np.flatnonzero(total)
-    yield pd.DataFrame({"cell": np.append(there, -1), "n": np.append(total[there], docs)})
+            docs += np.bincount(np.unique(doc * CELLS + term) % CELLS, minlength=CELLS)
+            times += np.bincount(term, minlength=CELLS)
+            read += len(part)
+    there = np.flatnonzero(docs)
+    yield pd.DataFrame({"cell": np.append(there, -1), "docs": np.append(docs[there], read), "times": np.append(times[there], 0)})
 
 
-def _anchors(vocabulary: np.ndarray, tops: dict[str, str]) -> np.ndarray:
-    """Which vocabulary entries are inspected terms of which subject."""
-    out = np.zeros((len(tops), len(vocabulary)))
-    for k, terms in enumerate(tops.values()):
-        out[k, np.isin(vocabulary, term_ids(terms.replace(" ", "\n")))] = 1
-    return out
+def content_terms(texts: DataFrame) -> np.ndarray:
+    """The vocabulary: cells of the terms of a table (text) that are neither rare nor common and that come in bursts."""
+    counted = texts.mapInPandas(_counted, "cell long, docs long, times long").groupBy("cell").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"))
+    total = counted.filter("cell = -1").select(F.col("docs").alias("all"))
+    share = F.col("docs") / F.col("all")
+    residual = F.log2(1 - F.exp(-F.col("times") / F.col("all"))) - F.log2(share)
+    within = (F.col("docs") >= F.greatest(F.lit(2), F.col("all") * RARE)) & (F.col("docs") <= F.greatest(F.lit(2), F.col("all") * COMMON))
+    kept = counted.crossJoin(F.broadcast(total)).filter((F.col("cell") >= 0) & within & (residual >= CONTENT))  # total is one row
+    return np.sort(kept.select("cell").toPandas()["cell"].to_numpy(dtype=np.int64))
 
 
 def proportions(doc: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, beta: np.ndarray, inner: int = INNER) -> tuple[np.ndarray, np.ndarray]:
     """(topic proportions of each document, topic shares of each entry): the variational step by fixed-point rounds. beta: term x topic."""
     k = beta.shape[1]
-    theta = np.full((n, k), 1 / k)
+    theta = np.full((n, k), 1 / k, dtype=np.float32)
     likely = beta[term]
+    share = likely
     start = np.flatnonzero(np.diff(doc, prepend=-1))
     for _ in range(inner):
         share = likely * theta[doc]
-        share /= share.sum(axis=1, keepdims=True)
-        theta = np.full((n, k), ALPHA)
+        share *= (count / np.maximum(share.sum(axis=1), 1e-30)).astype(np.float32)[:, None]
+        theta = np.full((n, k), ALPHA, dtype=np.float32)
         if start.size:
-            theta[doc[start]] += np.add.reduceat(share * count[:, None], start)
+            theta[doc[start]] += np.add.reduceat(share, start)
         theta /= theta.sum(axis=1, keepdims=True)
-    return theta, share if len(doc) else likely
+    return theta, share
+
+
+def _sums(doc: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, beta: np.ndarray, inner: int = INNER) -> tuple[np.ndarray, np.ndarray]:
+    """(vocabulary entries, their terms by topic) of a batch."""
+    _, share = proportions(doc, term, count, n, beta, inner)
+    order = np.argsort(term, kind="stable")
+    first = np.flatnonzero(np.diff(term[order], prepend=-1))
+    return term[order][first], np.add.reduceat(share[order], first) if first.size else share[:0]
+
+
+def _likely(weight: np.ndarray) -> np.ndarray:
+    """term x topic probabilities of topics with these term weights."""
+    beta = weight + ETA
+    return (beta / beta.sum(axis=0)).astype(np.float32)
 
 
 def _entries(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,30 +205,71 @@ def _grouped(row: np.ndarray, term: np.ndarray, width: int) -> tuple[np.ndarray,
     return pair // width, pair % width, count
 
 
-def subjects_of(docs: DataFrame, key: str, text: str, tops: dict[str, str] = TOP_TERMS) -> DataFrame:
-    """(key, subject, share) of every document and subject that at least SHARE of its sentences deal with.
+def _start(small: DataFrame, width: int) -> np.ndarray:
+    """Term weights of free topics fitted on the START documents with the smallest hash of their terms; a document adds at most `width` entries."""
 
-    Null keys and texts take no part, empty texts and texts without letters have no subject. A key that comes twice
-    counts each of its texts in the fit and gives its subjects once, with the greatest share.
-    Other columns are ignored; an empty corpus gives no rows.
-    """
-    spark = docs.sparkSession
-    read = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null and length(text) > 0")
-    id_type = read.schema["id"].dataType.simpleString()
-    counted = read.select("text").mapInPandas(_counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    total = counted.filter("cell = -1")
-    kept = counted.crossJoin(F.broadcast(total.select(F.col("n").alias("docs")))).filter(
-        (F.col("cell") >= 0) & (F.col("n") >= F.greatest(F.lit(2), F.col("docs") * RARE)) & (F.col("n") <= F.greatest(F.lit(2), F.col("docs") * COMMON))
-    )
-    frame = kept.select("cell", "n", "docs").toPandas().sort_values("cell")
-    names, empty = list(tops), spark.createDataFrame([], f"id {id_type}, subject string, share double")
-    out = lambda df: df.select(F.col("id").alias(key), "subject", "share")
-    if frame.empty:
-        return out(empty)
-    vocabulary = frame["cell"].to_numpy()
-    width, topics = len(vocabulary), len(names) + SPARE
-    anchors = _anchors(vocabulary, tops)
-    known = spark.sparkContext.broadcast(vocabulary)
+    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            row, _, term = _entries(pdf)
+            doc, entry, count = _grouped(row, term, width)
+            packed, at = np.stack([entry, count]).astype(np.int32), np.searchsorted(doc, np.arange(len(pdf) + 1))
+            yield pd.DataFrame({"bag": [packed[:, a:b].tobytes() for a, b in zip(at, at[1:])]})
+
+    chosen = small.filter("length(terms) > 0").select("terms").orderBy(F.xxhash64("terms"), "terms").limit(START)
+    both = [np.frombuffer(b, dtype=np.int32).reshape(2, -1) for b in chosen.mapInPandas(bags, "bag binary").toPandas()["bag"]]
+    rng = np.random.default_rng(3)
+    weight = rng.gamma(1, 1, (width, TOPICS))
+    if not both:
+        return weight
+    doc = np.repeat(np.arange(len(both)), [b.shape[1] for b in both])
+    term, count = np.concatenate(both, axis=1).astype(np.int64)
+    for _ in range(START_ROUNDS):
+        entry, sums = _sums(doc, term, count, len(both), _likely(weight), 2)
+        weight = np.zeros((width, TOPICS))
+        weight[entry] = sums
+    return weight
+
+
+def topics_of(small: DataFrame, width: int) -> np.ndarray:
+    """term x topic probabilities of the topics of stored documents (sentences, terms, round)."""
+    spark = small.sparkSession
+    weight = _start(small, width)
+    for step in range(STEPS):
+        beta = spark.sparkContext.broadcast(_likely(weight))
+
+        def gather(batches: Iterator[pd.DataFrame], beta=beta) -> Iterator[pd.DataFrame]:
+            stats = np.zeros((width, TOPICS))
+            for pdf in batches:
+                for a in range(0, len(pdf), 500):
+                    row, _, term = _entries(part := pdf.iloc[a : a + 500])
+                    entry, sums = _sums(*_grouped(row, term, width), len(part), beta.value)
+                    stats[entry] += sums
+            there = np.flatnonzero(stats)
+            yield pd.DataFrame({"cell": there, "n": stats.ravel()[there]})
+
+        sums = small.filter(F.col("round") == step).select("terms").mapInPandas(gather, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        new = np.zeros((width, TOPICS))
+        np.put(new, sums["cell"].to_numpy(), STEPS * sums["n"].to_numpy())
+        # the start is a sample: it weighs as much as a round, on the same scale
+        weight = weight * (new.sum() / max(weight.sum(), 1e-30)) if step == 0 else weight
+        rate = 1 / (step + 2)
+        weight = (1 - rate) * weight + rate * new if new.any() else weight
+    return _likely(weight)
+
+
+def owners(beta: np.ndarray, vocabulary: np.ndarray, seen: dict[str, str] = SEEN) -> np.ndarray:
+    """Place of each topic's subject in `seen`, -1 for none: most inspected terms among its first TOP, at least NAMED and more than all others together."""
+    known = np.stack([np.isin(vocabulary, term_ids(terms.replace(" ", "\n"))) for terms in seen.values()])
+    first = np.argsort(-beta, axis=0, kind="stable")[:TOP]
+    found = known[:, first].sum(axis=1)
+    best = found.argmax(axis=0)
+    most = found.max(axis=0)
+    return np.where((most >= NAMED) & (2 * most > found.sum(axis=0)), best, -1)
+
+
+def _compacted(read: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """(id, sentences, terms, round): each document's vocabulary entries with their sentences, packed, in shared storage."""
+    known = read.sparkSession.sparkContext.broadcast(vocabulary)
 
     def compact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = np.full(CELLS, -1, dtype=np.int32)
@@ -209,63 +283,84 @@ def subjects_of(docs: DataFrame, key: str, text: str, tops: dict[str, str] = TOP
                 at = np.searchsorted(doc, np.arange(len(part) + 1))
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "sentences": count.astype(np.int32), "terms": [packed[:, a:b].tobytes() for a, b in zip(at, at[1:])]})
 
-    small = stored(read.mapInPandas(compact, f"id {id_type}, sentences int, terms binary").withColumn("round", F.pmod(F.xxhash64("id"), F.lit(STEPS))), "topic-terms")
+    schema = f"id {read.schema['id'].dataType.simpleString()}, sentences int, terms binary"
+    return stored(read.mapInPandas(compact, schema).withColumn("round", F.pmod(F.xxhash64("id"), F.lit(STEPS))), "topic-terms")
 
-    rng = np.random.default_rng(3)
-    prior = np.full((topics, width), ETA)
-    share = frame["n"].to_numpy() / frame["docs"].to_numpy()
-    prior[: len(names)] += anchors * ANCHOR * frame["docs"].iloc[0]
-    anchored = anchors.any(axis=0)
-    weight = prior.copy()
-    weight[len(names) :] += share * rng.gamma(100, 0.01, (SPARE, width)) * np.where(anchored, 0.01, 1.0) * frame["docs"].iloc[0] / SPARE
-    weight[: len(names)] += 0.02 * share * frame["docs"].iloc[0] / topics * np.where(anchored, 0.0, 1.0)
-    for step in range(STEPS):
-        beta = spark.sparkContext.broadcast((weight / weight.sum(axis=1, keepdims=True)).T.copy())
 
-        def gather(batches: Iterator[pd.DataFrame], beta=beta) -> Iterator[pd.DataFrame]:
-            stats = np.zeros((width, topics))
-            for pdf in batches:
-                for a in range(0, len(pdf), 500):
-                    row, _, term = _entries(part := pdf.iloc[a : a + 500])
-                    doc, entry, count = _grouped(row, term, width)
-                    _, shares = proportions(doc, entry, count, len(part), beta.value)
-                    order = np.argsort(entry, kind="stable")
-                    first = np.flatnonzero(np.diff(entry[order], prepend=-1))
-                    if first.size:
-                        stats[entry[order][first]] += np.add.reduceat((shares * count[:, None])[order], first)
-            there = np.flatnonzero(stats.any(axis=1))
-            yield pd.DataFrame({"entry": there, **{f"t{k}": stats[there, k] for k in range(topics)}})
-
-        schema = "entry int, " + ", ".join(f"t{k} double" for k in range(topics))
-        sums = small.filter(F.col("round") == step).select("terms").mapInPandas(gather, schema).groupBy("entry").agg(*(F.sum(f"t{k}").alias(f"t{k}") for k in range(topics))).toPandas()
-        stats = np.zeros((topics, width))
-        stats[:, sums["entry"]] = sums.drop(columns="entry").to_numpy().T
-        rate = 1 / (step + 1)
-        new = prior + STEPS * stats
-        weight = new if step == 0 else (1 - rate) * weight + rate * new
-    beta = spark.sparkContext.broadcast((weight / weight.sum(axis=1, keepdims=True)).T.copy())
+def _read(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null and length(text) > 0")
+
+
+def subjects_of(docs: DataFrame, key: str, text: str, seen: dict[str, str] = SEEN) -> DataFrame:
+    """(key, subject, share) of every document and subject that at least SHARE of its sentences deal with.
+
+    Null keys and texts take no part, empty texts and texts without letters have no subject. A key that comes twice
+    counts each of its texts in the fit and gives its subjects once, with the greatest share.
+    Other columns are ignored; an empty corpus, and one without any content term, gives no rows.
+    """
+    spark = docs.sparkSession
+    read = _read(docs, key, text)
+    schema = f"id {read.schema['id'].dataType.simpleString()}, subject string, share double"
+    out = lambda df: df.select(F.col("id").alias(key), "subject", "share")
+    vocabulary = content_terms(read.select("text"))
+    if not vocabulary.size:
+        return out(spark.createDataFrame([], schema))
+    small = _compacted(read, vocabulary)
+    beta = topics_of(small, len(vocabulary))
+    names, owner = list(seen), owners(beta, vocabulary, seen)
+    shared = spark.sparkContext.broadcast((beta, (owner[:, None] == np.arange(len(names))).astype(np.float32)))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        beta, belongs = shared.value
         for pdf in batches:
             for a in range(0, len(pdf), 500):
                 part = pdf.iloc[a : a + 500]
                 row, sentence, term = _entries(part)
-                doc, entry, count = _grouped(row, term, width)
-                theta, _ = proportions(doc, entry, count, len(part), beta.value)
-                mass = beta.value[term] * theta[row]
-                mass /= np.maximum(mass.sum(axis=1, keepdims=True), 1e-300)
+                theta, _ = proportions(*_grouped(row, term, len(beta)), len(part), beta)
+                given = beta[term] * theta[row]
+                given /= np.maximum(given.sum(axis=1, keepdims=True), 1e-30)
                 spot = row * (1 << 32) + sentence
                 first = np.flatnonzero(np.diff(spot, prepend=-1))
                 if not first.size:
                     continue
-                by_sentence = np.add.reduceat(mass[:, : len(names)], first)
-                best = by_sentence.argmax(axis=1)
-                deals = by_sentence.max(axis=1) >= MASS
+                by_sentence = np.add.reduceat(given @ belongs, first)
+                best, deals = by_sentence.argmax(axis=1), by_sentence.max(axis=1) >= MASS
                 hits = np.zeros((len(part), len(names)))
                 np.add.at(hits, (row[first][deals], best[deals]), 1)
                 share = hits / np.maximum(1, part["sentences"].to_numpy())[:, None]
                 d, k = np.nonzero(share >= SHARE)
                 yield pd.DataFrame({"id": part["id"].to_numpy()[d], "subject": np.array(names, dtype=object)[k], "share": share[d, k]})
 
-    found = small.select("id", "sentences", "terms").mapInPandas(judge, f"id {id_type}, subject string, share double")
+    found = small.select("id", "sentences", "terms").mapInPandas(judge, schema)
     return out(found.groupBy("id", "subject").agg(F.max("share").alias("share")))
+
+
+def topic_report(docs: DataFrame, key: str, text: str, seen: dict[str, str] = SEEN) -> DataFrame:
+    """(topic, subject, place, term, weight): the TOP first terms of each fitted topic in writing and the subject it was given, to inspect them.
+
+    A term stands for its hash; of several with one hash the first in order is shown. Defined for the same inputs as subjects_of().
+    """
+    spark = docs.sparkSession
+    read = _read(docs, key, text)
+    vocabulary = content_terms(read.select("text"))
+    if not vocabulary.size:
+        return spark.createDataFrame([], "topic int, subject string, place int, term string, weight double")
+    beta = topics_of(_compacted(read, vocabulary), len(vocabulary))
+    names, owner = list(seen), owners(beta, vocabulary, seen)
+    first = np.argsort(-beta, axis=0, kind="stable")[:TOP]
+    tops = [(k, names[owner[k]] if owner[k] >= 0 else None, p + 1, int(vocabulary[i]), float(beta[i, k])) for k in range(TOPICS) for p, i in enumerate(first[:, k])]
+    wanted = spark.sparkContext.broadcast(frozenset(t[3] for t in tops))
+
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells: dict[str, int] = {}
+        for pdf in batches:
+            for word in {a or b for t in pdf["text"] for a, b in _WRITTEN.findall(t.lower())}:
+                if word not in cells:
+                    ids = term_ids(word)
+                    cells[word] = int(ids[0]) if len(ids) == 1 else -1
+        rows = [(w, c) for w, c in cells.items() if c in wanted.value]
+        yield pd.DataFrame(rows, columns=["term", "cell"])
+
+    terms = read.select("text").mapInPandas(written, "term string, cell long").groupBy("cell").agg(F.min("term").alias("term"))
+    table = spark.createDataFrame(tops, "topic int, subject string, place int, cell long, weight double")
+    return table.join(terms, "cell", "left").select("topic", "subject", "place", "term", "weight")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm.topics import subjects_of
+from glossa.llm.topics import subjects_of, topic_report
 from glossa.session import stored, table
 
 
@@ -22,5 +22,11 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).select("subject", "documents", "mean_share", F.round(F.col("documents") / F.col("total"), 6).alias("corpus_share"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_shares": p8_shares}
+def p8_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """The fitted topics by their first terms, and the subject that each was given."""
+    found = topic_report(table(spark, sf, "documents"), "doc_id", "text")
+    return found.select("topic", "subject", "place", "term", F.round("weight", 6).alias("weight"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_shares": p8_shares, "p8_topics": p8_topics}
 ORACLE: dict[str, str] = {}
