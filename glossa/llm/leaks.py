@@ -14,6 +14,7 @@ block and never shuffled. In each batch of documents:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ BAND = 32
 SHARE, COST = 0.28, 0.25
 BLOCK_CHARS = 20_000_000
 WINDOW = 1 << 20
+#: Hits that are held at once; documents with more are searched for the items in parts.
+HITS = 4_000_000
 BITS = 22
 
 
@@ -56,8 +59,8 @@ class Index:
         self.bits = np.zeros(1 << BITS, dtype=bool)
         self.bits[self.keys >> np.uint64(64 - BITS)] = True
 
-    def hits(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(document, item, x, y, q) of each shared q-gram that lies within its document."""
+    def places(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place in codes, key, document, q) of each q-gram that lies within its document and that some item has."""
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for a in range(0, codes.size, WINDOW):
             h = grams(codes[a : a + WINDOW + Q_LETTERS - 1], Q_HAN, Q_LETTERS)[:WINDOW]
@@ -69,12 +72,20 @@ class Index:
         doc = np.searchsorted(starts, at, side="right") - 1
         q = np.where(is_han(codes[at]), Q_HAN, Q_LETTERS)
         inside = at + q <= starts[doc + 1]
-        at, k, doc, q = at[inside], k[inside], doc[inside], q[inside]
-        many = self.many[k]
-        spread = np.repeat(np.arange(at.size), many)
-        nth = np.arange(spread.size) - np.repeat(np.cumsum(many) - many, many)
-        post = self.first[k][spread] + nth
-        return doc[spread], self.item[post], (at - starts[doc])[spread], self.place[post], q[spread]
+        return at[inside], k[inside], doc[inside], q[inside]
+
+    def hits(self, starts: np.ndarray, at: np.ndarray, k: np.ndarray, doc: np.ndarray, q: np.ndarray, part: int = 0, parts: int = 1) -> tuple[np.ndarray, ...]:
+        """(document, item, x, y, q) of each q-gram of places() and each place of it in the items of one part; at most HITS are made at a time."""
+        out = []
+        for piece in np.split(np.arange(at.size), np.searchsorted(np.cumsum(self.many[k]), np.arange(HITS, self.many[k].sum() + 1, HITS))):
+            many = self.many[k[piece]]
+            spread = np.repeat(piece, many)
+            post = self.first[k[spread]] + np.arange(spread.size) - np.repeat(np.cumsum(many) - many, many)
+            if parts > 1:
+                own = self.item[post] % parts == part
+                spread, post = spread[own], post[own]
+            out.append((doc[spread], self.item[post], (at - starts[doc])[spread], self.place[post], q[spread]))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def regions(index: Index, doc, item, x, y, q) -> np.ndarray:
@@ -177,10 +188,8 @@ def aligned(codes: np.ndarray, starts: np.ndarray, index: Index, found: np.ndarr
     return good
 
 
-def leaked(index: Index, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the text, place of the item, share of the item covered) of every leak in a batch."""
-    codes, starts = stream(texts)
-    found = extended(codes, starts, index, regions(index, *index.hits(codes, starts)))
+def _leaked(index: Index, codes: np.ndarray, starts: np.ndarray, hits: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = extended(codes, starts, index, regions(index, *hits))
     found = found[weighty(index, found)]
     d, i, chars = covered(found)
     enough = chars >= SHARE * index.lengths[i]
@@ -194,6 +203,40 @@ def leaked(index: Index, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.n
     return d[enough], i[enough], share[enough]
 
 
+def leaked(index: Index, texts: list[str], most: int = HITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the text, place of the item, share of the item covered) of every leak in a batch.
+
+    A q-gram that many items share gives many hits; whole documents are taken together up to `most` hits, and one document with
+    more is searched for the items in parts, which changes nothing: a region belongs to one document and one item.
+    """
+    codes, starts = stream(texts)
+    at, k, doc, q = index.places(codes, starts)
+    if not at.size:
+        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),)
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    load = np.add.reduceat(index.many[k], first)
+    ends = np.append(first[1:], at.size)
+    out, n = [], 0
+    while n < first.size:
+        last = max(n + 1, int(np.searchsorted(np.cumsum(load[n:]), most, side="right")) + n)
+        a, b, parts = first[n], ends[last - 1], int(-(-load[n:last].sum() // most))
+        n = last
+        for part in range(parts):
+            out.append(_leaked(index, codes, starts, index.hits(starts, at[a:b], k[a:b], doc[a:b], q[a:b], part, parts)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+#: The last index of a worker by the broadcast it was made from: the tasks of a worker share it.
+_made: dict[str, Index] = {}
+
+
+def _index(name: str, texts: list[str]) -> Index:
+    if name not in _made:
+        _made.clear()
+        _made[name] = Index(texts)
+    return _made[name]
+
+
 def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """(doc_key, item_key, share): which documents hold which items, and how much of the item.
 
@@ -210,11 +253,11 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
     out = spark.createDataFrame([], schema)
     for n in range(blocks):
         block = chosen.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == n).toPandas()  # all items in turn, not a subset
-        shared = spark.sparkContext.broadcast((block["i"].to_numpy(), block["t"].tolist()))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block["i"].to_numpy(), block["t"].tolist()))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, texts = shared.value
-            index = Index(texts)
+            name, ids, texts = shared.value
+            index = _index(name, texts)
             for pdf in batches:
                 for part in slices(pdf, "t"):
                     d, i, share = leaked(index, part["t"].tolist())

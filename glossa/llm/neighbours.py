@@ -19,15 +19,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.session import stored
+from glossa.session import cut, stored
 
-#: Bound of the sample that centroids are fitted on, and of the number of lists.
-SAMPLE, MOST_LISTS = 100_000, 65_536
+#: Bound of the sample that centroids are fitted on, sampled rows that a list has at least, and the most lists; beyond, lists grow and are scored in more blocks.
+SAMPLE, SAMPLED, MOST_LISTS = 400_000, 8, 65_536
 #: Rows to a list before copies; rows on one side of a scored block.
 LIST, BLOCK = 150, 4_000
-#: Up to so many centroids a plain scan is faster than the graph, as it is where one in WIDE or more are asked for; similarities are made for CELLS at a time.
-SMALL, WIDE, CELLS = 1024, 30, 1 << 24
 LINKS, BEAM, ENTRIES = 20, 30, 5
+#: Centroids that a scan compares at a time.
+CELLS = 1 << 24
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -78,7 +78,9 @@ class Graph:
     def nearest(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """(centroids, similarity) of up to `most` near centroids of each unit vector, best first."""
         n = len(self.heads)
-        if n <= SMALL or most * WIDE >= n:
+        beam = max(BEAM, most)
+        steps = 4 + beam // ENTRIES
+        if steps * ENTRIES * LINKS >= n:  # a walk would compare no fewer centroids than there are: all of them are compared, which is exact
             most, rows = min(most, n), max(1, CELLS // n)
             if len(x) > rows:
                 parts = [self.nearest(x[a : a + rows], most) for a in range(0, len(x), rows)]
@@ -88,12 +90,11 @@ class Graph:
             s = np.take_along_axis(sim, best, 1)
             order = np.argsort(-s, axis=1)
             return np.take_along_axis(best, order, 1), np.take_along_axis(s, order, 1)
-        beam = max(BEAM, most)
         sim = x @ self.heads[self.doors].T
         first = np.argpartition(-sim, ENTRIES - 1, axis=1)[:, :ENTRIES]
         ids, s = self.doors[first], np.take_along_axis(sim, first, 1)
         expanded = np.zeros(ids.shape, dtype=bool)
-        for _ in range(4 + beam // ENTRIES):
+        for _ in range(steps):
             waiting = np.where(expanded, -3.0, s)
             width = min(ENTRIES, waiting.shape[1])
             pick = np.argpartition(-waiting, width - 1, axis=1)[:, :width]
@@ -145,11 +146,11 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, queries=None
     vectors: (id long, v binary of signed bytes, all of one width). queries: condition on id; default all.
     copies, visits: most lists and distance ratio for a vector and for a query; share: a query visits at least this
     share of all lists, however distant, so that what it finds doesn't fall with their number. Null ids or vectors and zero
-    vectors take no part; a repeated id counts once; an empty table gives no rows. Similarity is exact,
+    vectors take no part; a repeated id counts once, with the smallest of its vectors; an empty table gives no rows. Similarity is exact,
     the choice of lists is not: a neighbour in none of a query's lists is missed.
     """
     spark = vectors.sparkSession
-    clean = vectors.select("id", "v").filter("id is not null and v is not null").dropDuplicates(["id"]).filter(F.regexp_replace(F.hex("v"), "0", "") != "")
+    clean = vectors.select("id", "v").filter("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v")).filter(F.regexp_replace(F.hex("v"), "0", "") != "")
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     front = clean.withColumn("r", place).filter(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     front = stored(front.withColumn("rep", F.col("ids")[0]), "knn-distinct")
@@ -162,7 +163,7 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, queries=None
     rate = min(1.0, SAMPLE / total)
     taken = front.select("v").sample(rate, 5) if rate < 1 else front.select("v")
     sample = unit(_matrix([r.v for r in taken.limit(SAMPLE).collect()] or [front.first().v]))
-    heads = centroids(sample, min(MOST_LISTS, max(1, total // list_rows), len(sample)))
+    heads = centroids(sample, max(1, min(MOST_LISTS, total // list_rows, len(sample) // (SAMPLED if rate < 1 else 1))))
     wide = math.ceil(share * len(heads))
     graph = spark.sparkContext.broadcast(Graph(heads))
 
@@ -183,13 +184,12 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, queries=None
         postings = front.select("rep", "v").mapInPandas(assign(1, *copies), schema).unionByName(wanted.select("rep", "v").mapInPandas(assign(2, max(visits[0], wide), visits[1], wide), schema))
     postings = stored(postings, "knn-lists")
 
-    # a list of more than BLOCK rows on a side is scored as a grid of blocks; there are at most MOST_LISTS lists
+    # a list of more than BLOCK rows on a side is scored as a grid of blocks; the grids are a table of at most MOST_LISTS rows
     sizes = postings.groupBy("list").agg(F.sum(F.col("role").bitwiseAND(1)).alias("i"), F.sum(F.shiftright(F.col("role").bitwiseAND(2), 1)).alias("q"))
-    grids = sizes.select("list", F.ceil(F.col("i") / BLOCK).cast("int").alias("gi"), F.ceil(F.col("q") / BLOCK).cast("int").alias("gq")).filter("gi > 1 or gq > 1").collect()
-    if grids:
-        of = F.create_map(*(F.lit(x) for g in grids for x in (g["list"], g["gi"] * 65536 + g["gq"])))
-        size = F.coalesce(of[F.col("list")], F.lit(65537))
-        gi, gq = F.shiftright(size, 16), size.bitwiseAND(65535)
+    grids = cut(sizes.select("list", F.ceil(F.col("i") / BLOCK).cast("int").alias("gi"), F.ceil(F.col("q") / BLOCK).cast("int").alias("gq")).filter("gi > 1 or gq > 1"))
+    if not grids.isEmpty():
+        postings = postings.join(F.broadcast(grids), "list", "left")
+        gi, gq = F.greatest(F.col("gi"), F.lit(1)), F.greatest(F.col("gq"), F.lit(1))
         own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
         cells = lambda rows, cols, role: F.transform(rows, lambda r: F.struct(r.alias("bi"), cols.alias("bq"), F.lit(role).cast("byte").alias("role")))
         as_item = F.transform(F.sequence(F.lit(0), gq - 1), lambda c: F.struct(own(gi).alias("bi"), c.cast("int").alias("bq"), F.lit(1).cast("byte").alias("role")))
@@ -197,7 +197,7 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, queries=None
         none = F.array().cast("array<struct<bi:int,bq:int,role:tinyint>>")
         both = F.concat(F.when(F.col("role").bitwiseAND(1) > 0, as_item).otherwise(none), F.when(F.col("role").bitwiseAND(2) > 0, as_query).otherwise(none))
         single = F.array(F.struct(F.lit(0).alias("bi"), F.lit(0).alias("bq"), F.col("role")))
-        cell = F.when(size == 65537, single).otherwise(both)
+        cell = F.when(F.col("gi").isNull(), single).otherwise(both)
         postings = postings.select("list", "rep", "v", F.inline(cell))
     else:
         postings = postings.withColumns({"bi": F.lit(0), "bq": F.lit(0)})

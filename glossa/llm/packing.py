@@ -6,7 +6,8 @@ residual vector, each part relative to its capacity and weighted, has the least
 container is opened. A text is divided only if it alone is longer than a container.
 
 Items are spread by hash and packed in chunks of CHUNK; containers of a chunk that stay under FULL are
-opened again, and their items are packed with those of all other chunks in the next round, until the rest fits one chunk or ROUNDS are over.
+opened again, and their items are packed with those of all other chunks in the next round, until the rest fits one chunk or a round
+settles less than GAIN of it.
 Every row of a task depends on its hash partition in sorted order alone, so a lost task gives the same containers again.
 """
 
@@ -26,13 +27,15 @@ from pyspark.sql import functions as F
 from glossa.session import stored
 
 CHUNK, TASK_ITEMS = 8192, 200_000
-FULL, ROUNDS = 0.99, 3
+FULL, GAIN = 0.99, 0.1
 
 
 @dataclass(frozen=True)
 class Capacity:
+    """What a container holds. A cost of tokens squared or more never limits: the sum of squares is at most the square of the sum."""
+
     tokens: int = 1024
-    documents: int = 256
+    documents: int = 16
     cost: int = 1024 * 1024
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
 
@@ -94,6 +97,15 @@ def best_fit(sizes: np.ndarray, cap: Capacity) -> np.ndarray:
     return own
 
 
+def limits(packed: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
+    """(container, tokens, pieces, cost, limit) of packed items: limit names the capacity of which the largest part is used, the first of equal ones."""
+    n = F.col("tokens").cast("long")
+    by = packed.groupBy("container").agg(F.sum(n).alias("tokens"), F.count("*").alias("pieces"), F.sum(n * n).alias("cost"))
+    used = [F.col("tokens") / cap.tokens, F.col("pieces") / cap.documents, F.col("cost") / cap.cost]
+    most = F.greatest(*used)
+    return by.withColumn("limit", F.when(used[0] == most, "tokens").when(used[1] == most, "documents").otherwise("cost"))
+
+
 def pack(items: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
     """(id, piece, first_token, tokens, container) for items (id, n): every token of every item is in one container.
 
@@ -107,8 +119,9 @@ def pack(items: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
     rest = stored(items.filter("id is not null and n > 0").select("id", F.inline(pieces)), "pack-items")
     schema = rest.schema.simpleString()[7:-1]
     count, done = rest.count(), None
-    for turn in range(ROUNDS):
-        last = count <= CHUNK or turn == ROUNDS - 1
+    turn, before = 0, None
+    while True:
+        last = count <= CHUNK or (before is not None and count > (1 - GAIN) * before)
         tasks = max(1, -(-count // TASK_ITEMS))
 
         def run(batches: Iterator[pd.DataFrame], turn=turn, last=last) -> Iterator[pd.DataFrame]:
@@ -142,7 +155,7 @@ def pack(items: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
         if last:
             break
         rest = out.filter("not settled").drop("settled", "container")
-        count = rest.count()
+        before, count, turn = count, rest.count(), turn + 1
         if not count:
             break
     return done

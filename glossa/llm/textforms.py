@@ -55,16 +55,22 @@ RADICALS = {
 
 # Ranges of characters that are ignorable by default, besides the format characters.
 IGNORABLE = ((0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0xE0000, 0xE0FFF))
+# Format characters that are drawn: number signs and marks before numbers, interlinear marks, hieroglyph joiners.
+DRAWN = ((0x600, 0x605), (0x6DD, 0x6DD), (0x70F, 0x70F), (0x890, 0x891), (0x8E2, 0x8E2), (0xFFF9, 0xFFFB), (0x110BD, 0x110BD), (0x110CD, 0x110CD), (0x13430, 0x1343F))
 # Kinds of compatibility mapping that keep the look of the character.
 SAME_LOOK = {"<wide>", "<narrow>", "<compat>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>"}
 
+#: Ordinary line breaks and tabs.
+BREAKS = "\t\n\r\v\f\x1c\x1d\x1e\x1f\x85  "
 #: Characters of which any sequence is already in composed, visible, one-script form (Java and Python syntax).
 PLAIN = r"\x20-\x7EÀ-ÖØ-Þà-öø-ÿ–—‘’“”、。〈-】一-鿿！（），：；？"
 ODD = f"[^{PLAIN}]"
 
 
 def _ignorable(c: str) -> bool:
-    return any(a <= ord(c) <= b for a, b in IGNORABLE) or (unicodedata.category(c) == "Cf" and not 0x600 <= ord(c) <= 0x8FF)
+    """Ignorable by default: format characters but for those that are drawn, and the ranges above."""
+    within = lambda ranges: any(a <= ord(c) <= b for a, b in ranges)
+    return within(IGNORABLE) or (unicodedata.category(c) == "Cf" and not within(DRAWN))
 
 
 class _Lazy(dict):
@@ -82,22 +88,27 @@ class _Lazy(dict):
 def _visible(c: str) -> str:
     if _ignorable(c):
         return ""
-    if c in "\t\n\r\v\f\x1c\x1d\x1e\x1f\x85  ":
+    if c in BREAKS:
         return c
     return " " if c.isspace() else RADICALS.get(c, c)
 
 
-def _variant(c: str) -> str:
-    """1 for a character that looks as another letter, digit or Chinese character."""
-    kind = unicodedata.category(c)
-    if kind[0] in "LNM" or 0x2E80 <= ord(c) <= 0x2FDF:
-        mapped = unicodedata.decomposition(c).split()
-        if c in RADICALS or (mapped and (mapped[0] in SAME_LOOK) and unicodedata.normalize("NFKC", c) != c):
-            return "1"
-    return ""
+def _ordinary(c: str) -> str:
+    """What a character of a plain spelling becomes in the consistent form: folded case, and punctuation, symbols and forms of another look as compatibility maps them.
+
+    Variant forms of letters, digits and Chinese characters stay as they are, so that a text that holds one differs from its consistent form.
+    """
+    mapped = unicodedata.decomposition(c).split()
+    kind = mapped[0] if mapped else ""
+    letter = unicodedata.category(c)[0] in "LNM" or 0x2E80 <= ord(c) <= 0x2FDF
+    if letter and (c in RADICALS or kind in SAME_LOOK or (kind[:1] not in ("", "<") and unicodedata.normalize("NFC", c) != c)):
+        return c
+    if c.isspace() or _ignorable(c):
+        return c
+    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", c).casefold())
 
 
-VISIBLE, VARIANT = _Lazy(_visible), _Lazy(_variant)
+VISIBLE, ORDINARY = _Lazy(_visible), _Lazy(_ordinary)
 _FOREIGN = re.compile("[Ͱ-֏]")
 _WORD = re.compile(r"[^\W\d_⺀-鿿가-힣]+")
 _LATIN = re.compile("[A-Za-z]")
@@ -106,6 +117,7 @@ _TO_LATIN_AMONG = str.maketrans(LOOKALIKE | LOOKALIKE_AMONG_LATIN)
 _LATIN_FORM = str.maketrans(LATIN_LOOKALIKE)
 _KANA_RUN = re.compile(r"[゠-ヿ]+")
 _SPACES = re.compile(r"\s+")
+_BREAKS = re.compile(f"[ {BREAKS}]+")
 
 
 def _han(c: str) -> bool:
@@ -145,16 +157,12 @@ def canonical(text: str) -> str:
 
 
 def disguised(text: str) -> bool:
-    """Whether text looks like a plain spelling but holds other characters.
+    """Whether text looks like a plain spelling but holds other characters: whether its consistent form differs from what folded case,
+    ordinary punctuation and collapsed breaks alone would make of it.
 
     Punctuation, letter case, ordinary line breaks and composed accents never count.
     """
-    shown = text.translate(VISIBLE)
-    if shown != text or unicodedata.normalize("NFC", shown) != shown:
-        return True
-    if shown.translate(VARIANT):
-        return True
-    return unmasked(shown) != shown
+    return canonical(text) != _BREAKS.sub(" ", text.translate(ORDINARY)).strip(" " + BREAKS)
 
 
 def _per_distinct(values: pd.Series, rule, kind) -> pd.Series:

@@ -33,3 +33,9 @@ def test_found_rows(spark):
     assert disguised_values(df.limit(0), "t", "id", ("headword",)).count() == 0
     forms = canonical_values(df, "t", "id", ("headword", "chinese_text"))
     assert forms.count() == 7 and forms.filter("row_key = '2'").first().form == "流浪"
+
+
+def test_ignorable_and_drawn_format_characters():
+    assert canonical("ab\u061ccd") == "abcd" and disguised("ab\u061ccd")
+    assert canonical("\u0600١٢") == "\u0600١٢" and not disguised("\u0600١٢")
+    assert not any(map(disguised, ["x²", "①", "İstanbul", "straße", "ΐ", "a\r\n b", "ｘ"[:0]])) and all(map(disguised, ["e\u0301", "Ａ", "a\u3000b", "ﬁ"]))

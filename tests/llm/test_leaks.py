@@ -55,3 +55,15 @@ def test_short_sentences_count_together():
     apart = ZH[:30].join([clauses[4], clauses[1], clauses[3], clauses[0]])
     assert _pairs([item], [FILL + apart + FILL]) == {(0, 0)}
     assert _pairs([item], [FILL + clauses[2] + FILL]) == set()
+
+
+def test_shared_grams_are_searched_in_parts():
+    r = random.Random(4)
+    opening = "which of the following sentences about the weary usher is the right one to choose here "
+    items = [opening + " ".join(r.choice(EN).lower() for _ in range(2)) + str(i) for i in range(60)]
+    texts = [FILL + items[7] + FILL + items[9], opening * 50, FILL, items[3] + opening * 20, ""]
+    index = Index(items)
+    whole = [x.tolist() for x in leaked(index, texts)]
+    for most in (20_000, 60_000):
+        parts = [x.tolist() for x in leaked(index, texts, most)]
+        assert sorted(zip(*parts)) == sorted(zip(*whole)) and whole[0]

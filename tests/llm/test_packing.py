@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from glossa.llm.packing import Capacity, best_fit, pack, public_tokenizer, token_counts
+from glossa.llm.packing import Capacity, best_fit, limits, pack, public_tokenizer, token_counts
 
 
 def test_every_token_once_and_tight(spark):
@@ -37,3 +37,12 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world", 9), (2, "", 9), (3, None, 9), (None, "x", 9), (4, "字" * 50_000, 9)], "id long, text string, n int")
     found = {r.id: r.n for r in token_counts(df, "id", "text", public_tokenizer()).collect()}
     assert set(found) == {1, 4} and 1 <= found[1] <= 4 and found[4] > 10_000
+
+
+def test_capacities_that_limit(spark):
+    r = random.Random(3)
+    cap = Capacity(tokens=1024, documents=4, cost=300_000)
+    df = spark.createDataFrame([(i, r.choice([r.randrange(1, 60), r.randrange(200, 540)])) for i in range(2000)], "id long, n long")
+    rows = limits(pack(df, cap), cap).collect()
+    assert all(x.tokens <= 1024 and x.pieces <= 4 and x.cost <= 300_000 for x in rows)
+    assert {x.limit for x in rows} >= {"documents", "cost"} and sum(x.pieces for x in rows) == 2000
