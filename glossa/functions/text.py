@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from glossa import constants as C
 
 CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2EBEF}"
+#: Depth of nested brackets that is looked into.
+NESTING = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -22,6 +24,15 @@ def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
+#: What compatibility normalisation never changes: ASCII, plain Latin letters, common Chinese characters and full-width-free punctuation.
+_SETTLED = r"[^\x{0}-\x{9F}\x{A1}-\x{A7}\x{AB}-\x{AC}\x{AE}\x{B0}-\x{B1}\x{B6}-\x{B7}\x{BB}\x{BF}-\x{131}\x{3001}-\x{3029}\x{4E00}-\x{9FFF}]"
+
+
+def compatible(v: Column) -> Column:
+    """nfkc() as part of a column plan: only values with a character that it could change go through Python."""
+    return F.when(v.rlike(_SETTLED), nfkc(F.when(v.rlike(_SETTLED), v))).otherwise(v)
+
+
 def ascii_lower(v: Column) -> Column:
     """Lower case of A-Z alone, the order in which headwords are compared."""
     return F.translate(v, _UPPER, _LOWER)
@@ -72,11 +83,30 @@ def has_negation(v: Column) -> Column:
 
 
 
+def _held(runs: Column, part: Column) -> Column:
+    return F.exists(runs, lambda r: F.contains(r, part))
+
+
 def longest_common(query: Column, runs: Column) -> Column:
-    """Length of the longest part of query within one run: the starts of query are extended as far as some run goes along."""
+    """Length of the longest part of query within one run.
+
+    One walk over the query: the part that begins here and is one longer than the best so far is either held by a run, then it is the best, or the walk
+    goes on to the next beginning; 2 n tests for n characters.
+    """
     n = F.length(query)
-    at_start = lambda i: F.array_max(F.filter(F.transform(F.sequence(F.lit(0), n - i + 1), lambda k: F.when(F.exists(runs, lambda r: F.contains(r, F.substring(query, i, k))), k)), lambda x: x.isNotNull()))
-    return F.when(n > 0, F.coalesce(F.array_max(F.transform(F.sequence(F.lit(1), n), at_start)), F.lit(0))).otherwise(0)
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("best"))
+
+    def step(s: Column, _: Column) -> Column:
+        more = F.when(s["at"] + s["best"] <= n, _held(runs, F.substring(query, s["at"], s["best"] + 1))).otherwise(F.lit(False))
+        return F.struct(F.when(more, s["at"]).otherwise(s["at"] + 1).alias("at"), F.when(more, s["best"] + 1).otherwise(s["best"]).alias("best"))
+
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), 2 * n), start, step, lambda s: s["best"])).otherwise(0)
+
+
+def holds_part(query: Column, runs: Column, length: Column) -> Column:
+    """Whether a run holds some part of query of the given length."""
+    starts = F.sequence(F.lit(1), F.length(query) - length + 1)
+    return F.when((length > 0) & (F.size(runs) > 0), F.exists(starts, lambda i: _held(runs, F.substring(query, i, length)))).otherwise(F.lit(False))
 
 
 def bigram_coverage(query: Column, runs: Column) -> Column:
@@ -90,8 +120,8 @@ def bigram_coverage(query: Column, runs: Column) -> Column:
 def leading_coverage(query: Column, runs: Column) -> Column:
     """Share of the query that the longest of its beginnings found in a run makes up."""
     n = F.length(query)
-    found = F.filter(F.sequence(F.lit(1), n), lambda k: F.exists(runs, lambda r: F.contains(r, F.substring(query, F.lit(1), k))))
-    return F.coalesce(F.array_max(found), F.lit(0)) / n
+    further = lambda k, i: F.when((k == i - 1) & _held(runs, F.substring(query, F.lit(1), i)), i).otherwise(k)
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0), further) / n).otherwise(0.0)
 
 
 def segment_quality(query: Column, runs: Column) -> Column:
@@ -117,21 +147,29 @@ def segment_quality(query: Column, runs: Column) -> Column:
     return F.struct(any_("exact").alias("exact"), any_("extension").alias("extension"), any_("boundary").alias("boundary"), best("compactness").alias("compactness"), best("position").alias("position"))
 
 
-def only_in_brackets(v: Column, query: Column) -> Column:
-    """Whether every place of query in v lies within brackets, by a scan that counts depth."""
+def outside_brackets(v: Column) -> Column:
+    """The text with each outermost bracketed part replaced by a bracket: what a closing bracket without an opening one, or the reverse, leaves stands outside or inside.
+
+    Brackets of all kinds count alike. Inner parts are taken out first, as often as brackets nest (up to NESTING deep).
+    """
+    one = F.translate(F.translate(v, C.OPENING, "\x01" * len(C.OPENING)), C.CLOSING, "\x02" * len(C.CLOSING))
+    for _ in range(NESTING):
+        one = F.regexp_replace(one, "\x01[^\x01\x02]*\x02", "\x03")
+    return F.regexp_replace(one, "(?s)\x01.*$", "\x03")
+
+
+def bracket_views(v: Column) -> tuple[Column, Column]:
+    """(text with brackets as separators, text outside brackets): what stands only inside brackets is found in the first alone."""
     text = F.translate(v, "矽", "硅")
-    n, end = F.length(query), F.length(text)
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("inside"), F.lit(False).alias("outside"))
+    held = F.translate(text, C.OPENING + C.CLOSING, "\x03" * len(C.OPENING + C.CLOSING))
+    bracketed = held.rlike("\x03")
+    return held, F.when(bracketed, outside_brackets(text)).otherwise(held)
 
-    def step(state: Column, i: Column) -> Column:
-        c = F.substring(text, i, F.lit(1))
-        opening, closing = F.contains(F.lit(C.OPENING), c), F.contains(F.lit(C.CLOSING), c)
-        here = ~opening & ~closing & (F.substring(text, i, n) == query) & (i + n - 1 <= end)
-        depth = F.when(opening, state["depth"] + 1).when(closing, F.greatest(F.lit(0), state["depth"] - 1)).otherwise(state["depth"])
-        return F.struct(depth.alias("depth"), (state["inside"] | (here & (state["depth"] > 0))).alias("inside"), (state["outside"] | (here & (state["depth"] == 0))).alias("outside"))
 
-    scanned = F.aggregate(F.sequence(F.lit(1), end), start, step, lambda s: s["inside"] & ~s["outside"])
-    return F.when(F.contains(text, query) & (n > 0), scanned).otherwise(F.lit(False))
+def only_in_brackets(v: Column, query: Column) -> Column:
+    """Whether query occurs in v, but nowhere outside brackets; places that span a bracket don't count."""
+    held, outside = bracket_views(v)
+    return (F.length(query) > 0) & F.contains(held, query) & ~F.contains(outside, query)
 
 
 _OTHER = r"[\p{L}\p{N}&&[^\p{ASCII}]&&[^\p{IsHan}]]"
@@ -156,6 +194,21 @@ def filter_tokens(v: Column) -> Column:
     return F.regexp_extract_all(_plain(v), F.lit(rf"{_BEFORE}(?<![a-z0-9])([a-z0-9]+){_AFTER}(?![a-z0-9])"), F.lit(1))
 
 
+_TOKEN = rf"{_BEFORE}(?<![a-z0-9])[a-z0-9]+(?:[-'][a-z0-9]+)*{_AFTER}(?![a-z0-9])"
+
+
+def anchor_terms(v: Column) -> Column:
+    """Headwords that a query may name, in order: each phrase of ASCII words with nothing but spaces between, then its words.
+
+    Words and phrases of stop words alone are left out unless the query has no others.
+    """
+    telling = lambda x: F.size(significant_terms(filter_tokens(x))) > 0
+    phrases = F.regexp_extract_all(_plain(v), F.lit(rf"({_TOKEN}(?:\s+{_TOKEN})*)"), F.lit(1))
+    any_telling = telling(v)
+    of = lambda p: F.concat(F.array(headword_term(p)), F.filter(headword_tokens(p), lambda t: ~any_telling | telling(t)))
+    return F.array_distinct(F.flatten(F.transform(F.filter(phrases, lambda p: ~any_telling | telling(p)), of)))
+
+
 def significant_terms(terms: Column) -> Column:
     return F.array_except(terms, F.array(*map(F.lit, C.STOP_WORDS)))
 
@@ -183,20 +236,21 @@ def normalized_headword(v: Column) -> Column:
 
 
 def stems(v: Column) -> Column:
-    """Up to two regular stems of an inflected word, in the order they should be tried."""
+    """Up to two regular stems of an inflected word of letters a-z, in the order they should be tried; a stem has three letters at least."""
     cut = lambda n, tail="": F.concat(F.substring(v, F.lit(1), F.length(v) - n), F.lit(tail))
-    doubled = lambda n: F.substring(v, F.length(v) - n, F.lit(1)) == F.substring(v, F.length(v) - n - 1, F.lit(1))
-    none = F.array().cast("array<string>")
-    long = lambda n: F.length(v) > n
-    return (
-        F.when(v.rlike("ied$") & long(4), F.array(cut(3, "y")))
-        .when(v.rlike("ies$") & long(4), F.array(cut(3, "y")))
-        .when(v.rlike("ing$") & long(5), F.when(doubled(3), F.array(cut(4), cut(3))).otherwise(F.array(cut(3), cut(3, "e"))))
-        .when(v.rlike("ed$") & long(4), F.when(doubled(2), F.array(cut(3), cut(2))).otherwise(F.array(cut(2), cut(1))))
-        .when(v.rlike("es$") & long(4), F.array(cut(2), cut(1)))
-        .when(v.rlike("s$") & ~v.rlike("ss$") & long(3), F.array(cut(1)))
-        .otherwise(none)
+    # a doubled consonant before the ending is written once in the stem
+    of = lambda n: F.when(cut(n).rlike(r"([^aeiou])\1$"), F.array(cut(n + 1))).otherwise(F.array(cut(n), cut(n, "e")))
+    ends = lambda tail, least: F.endswith(v, F.lit(tail)) & (F.length(v) > least)
+    made = (
+        F.when(~v.rlike("^[a-z]+$"), F.array().cast("array<string>"))
+        .when(ends("ied", 4) | (ends("ies", 4)), F.array(cut(3, "y")))
+        .when(ends("ed", 4), of(2))
+        .when(ends("ing", 5), of(3))
+        .when(ends("es", 4), F.array(cut(2)))
+        .when(ends("s", 3), F.array(cut(1)))
+        .otherwise(F.array().cast("array<string>"))
     )
+    return F.slice(F.array_distinct(F.filter(made, lambda x: (F.length(x) >= 3) & (x != v))), 1, 2)
 
 
 def ranked(v: Column, ranks: dict[str, int], otherwise: int = -1) -> Column:

@@ -1,36 +1,57 @@
-"""Reverse search: Chinese queries to documents by shared characters, ranked by how the query sits in the text.
+"""Reverse search: Chinese and mixed queries to documents by shared characters, ranked by how the query sits in the text.
 
 All queries are answered in one pass: query tokens meet the postings in an equi-join, one aggregate gives the
-number of shared tokens, and from it follows for each (query, pool tier) whether all tokens must occur or any.
+number of shared tokens. Documents with every token come first, with those of which a segment is the query; only pool tiers that have none of
+them left after the filters are searched for any token. English words in a query name headwords, whose documents
+are anchors: they come before all others and pass the filters.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa import constants as C
 from glossa.functions import text as X
+from glossa.operators.index import exact_segments
+from glossa.session import stored
 
 
-def prepared_queries(queries: DataFrame) -> DataFrame:
-    """(query_id, q, tokens, n_tokens, runs) of the queries with a Chinese character; q joins the runs."""
-    runs = X.cjk_runs(X.spaced(F.col("query")))
-    made = queries.select("query_id", runs.alias("q_runs")).filter(F.size("q_runs") > 0)
-    return made.select("query_id", F.array_join("q_runs", "").alias("q"), F.size("q_runs").alias("n_runs"), X.query_tokens(F.col("q_runs")).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
-
+def prepared_queries(queries: DataFrame, normal=lambda v: v) -> DataFrame:
+    """(query_id, q, n_runs, tokens, n_tokens, words, anchors) of the queries with a Chinese character or an English word; q joins the runs.
 
-def prepared_documents(docs: DataFrame) -> DataFrame:
-    """docs with the Chinese runs of their text and their ranks by scope and role."""
-    return docs.withColumns(
+    normal: compatibility normalisation of a column, for queries that haven't had it.
+    """
+    text = F.col("_text")
+    runs = X.cjk_runs(X.spaced(text))
+    made = queries.withColumn("_text", normal(F.col("query"))).select("query_id", runs.alias("q_runs"), F.array_distinct(X.filter_tokens(text)).alias("words"), X.anchor_terms(text).alias("anchors"))
+    made = made.filter((F.size("q_runs") > 0) | (F.size("words") > 0))
+    full = made.select("query_id", F.array_join("q_runs", "").alias("q"), F.size("q_runs").alias("n_runs"), X.query_tokens(F.col("q_runs")).alias("tokens"), "words", "anchors")
+    return full.withColumn("n_tokens", F.size("tokens"))
+
+
+def prepared_documents(docs: DataFrame, normal=lambda v: v) -> DataFrame:
+    """docs with the Chinese runs of their text, what is measured on a text alone, and their ranks by scope and role."""
+    held, outside = X.bracket_views(F.col("_text"))
+    docs = docs.withColumn("_text", normal(F.coalesce("chinese_text", F.lit("")))).withColumns(
         {
-            "runs": X.cjk_runs(X.spaced(F.coalesce("chinese_text", F.lit("")))),
+            "runs": X.cjk_runs(X.spaced(F.col("_text"))),
             "pool": X.ranked(F.col("scope"), C.POOL_TIER, 0),
             "priority": X.ranked(F.col("scope"), C.RESULT_PRIORITY),
             "role": X.ranked(F.col("semantic_role"), C.RETRIEVAL_ROLE),
             "evidence_role": X.ranked(F.col("semantic_role"), C.EVIDENCE_ROLE),
         }
-    ).filter(F.size("runs") > 0)
+    )
+    alone = {
+        "held": held,
+        "outside": outside,
+        "total": F.aggregate("runs", F.lit(0), lambda a, r: a + F.length(r)),
+        "negated": F.filter("runs", X.has_negation),
+        "affirmed": F.filter("runs", lambda r: ~X.has_negation(r)),
+    }
+    return docs.withColumns(alone).drop("_text").filter(F.size("runs") > 0)
 
 
 def candidates(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -45,23 +66,21 @@ def candidates(queries: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def scored(pairs: DataFrame) -> DataFrame:
-    """pairs (q, runs, chinese_text, weight, ...) with score, tier and the measures behind them."""
+    """pairs (q, weight and the columns of prepared_documents()) with score, tier and the measures behind them."""
     q, runs = F.col("q"), F.col("runs")
     n = F.length(q)
     out = pairs.withColumns(
         {
-            "contains": F.exists(runs, lambda r: F.contains(r, q)),
+            "contains": (n > 0) & F.exists(runs, lambda r: F.contains(r, q)),
             "longest": X.longest_common(q, runs),
             "coverage": X.bigram_coverage(q, runs),
             "leading": X.leading_coverage(q, runs),
             "quality": X.segment_quality(q, runs),
-            "bracket_only": X.only_in_brackets(F.col("chinese_text"), q),
-            "total": F.aggregate(runs, F.lit(0), lambda a, r: a + F.length(r)),
+            "bracket_only": (n > 0) & F.contains("held", q) & ~F.contains("outside", q),
+            "same": F.when(X.has_negation(q), F.col("negated")).otherwise(F.col("affirmed")),
         }
     )
-    same = lambda r: X.has_negation(r) == X.has_negation(q)
-    at_longest = F.exists(F.col("runs"), lambda r: same(r) & (X.longest_common(q, F.array(r)) == F.col("longest")))
-    out = out.withColumn("negation", (F.col("longest") > 0) & ~at_longest)
+    out = out.withColumn("negation", (F.col("longest") > 0) & ~X.holds_part(q, F.col("same"), F.col("longest")))
     least_run = F.greatest(F.lit(3), F.floor((n + 1) / 2).cast("int"))
     spread = (n >= 4) & ~F.col("negation") & (F.col("coverage") >= 0.6) & (F.col("longest") >= least_run)
     tier = F.when(F.col("quality.exact") & ~F.col("bracket_only"), 4).when(F.col("quality.extension"), 3).when(F.col("quality.boundary") | F.col("contains") | spread, 2).otherwise(1)
@@ -76,49 +95,112 @@ def scored(pairs: DataFrame) -> DataFrame:
         - F.when(F.col("bracket_only"), C.BRACKET).otherwise(0)
         - F.when(F.col("negation"), C.NEGATION).otherwise(0)
     )
-    return out.withColumns({"tier": tier, "score": score.cast("double"), "strong": (F.col("contains")) | (~F.col("negation") & (F.col("coverage") >= 0.6) & (F.col("longest") >= least_run))})
+    some, weight = n > 0, F.coalesce(F.col("weight"), F.lit(0)).cast("double")  # a query without Chinese characters is scored by weight alone
+    return out.withColumns({"tier": F.when(some, tier).otherwise(0), "score": F.when(some, score.cast("double")).otherwise(weight), "strong": (F.col("contains")) | (~F.col("negation") & (F.col("coverage") >= 0.6) & (F.col("longest") >= least_run))})
 
 
 def length_filtered(rows: DataFrame) -> DataFrame:
-    """Rows that fit the length of their query.
+    """Rows that fit the length of their query; anchors always do.
 
     One character: no examples. Two or three: a shared run of two. Four and more: what contains the query or covers it well;
-    for queries without any such row, the rows of the longest shared run that is long enough.
+    for queries without any such row or anchor, the rows of the longest shared run that is long enough.
     """
     n = F.length("q")
     by = Window.partitionBy("query_id")
-    some = F.max(F.col("strong").cast("int")).over(by) == 1
+    strong = F.col("strong") | F.col("anchor")
+    some = F.max(strong.cast("int")).over(by) == 1
     best = F.max(F.when(~F.col("negation"), F.col("longest"))).over(by)
     least = F.greatest(F.lit(3), F.floor((n + 1) / 2).cast("int"))
     marked = rows.withColumns({"_some": some, "_best": best})
-    long = F.when(F.col("_some"), F.col("strong")).otherwise(~F.col("negation") & (F.col("longest") == F.col("_best")) & (F.col("longest") >= least))
-    keep = F.when(n == 1, F.col("scope") != "example").when(n <= 3, F.col("longest") >= 2).otherwise(long)
+    long = F.when(F.col("_some"), strong).otherwise(~F.col("negation") & (F.col("longest") == F.col("_best")) & (F.col("longest") >= least))
+    keep = F.when(F.col("anchor") | (n == 0), True).when(n == 1, F.col("scope") != "example").when(n <= 3, F.col("longest") >= 2).otherwise(long)
     return marked.filter(keep).drop("_some", "_best")
 
 
-def search(queries: DataFrame, docs: DataFrame, limit: int = 32) -> DataFrame:
-    """(query_id, group_place, evidence_place, entry_id, id, tier, score): ranked groups with up to eight documents each."""
-    asked, there = prepared_queries(queries), prepared_documents(docs)
+def holds_words(*fields: str) -> Column:
+    """Whether each of a query's words stands somewhere in the fields, as text: what is asked of a candidate before the pool is cut."""
+    text = X.ascii_lower(F.concat_ws(" ", *(F.coalesce(f, F.lit("")) for f in fields)))
+    return F.forall("words", lambda w: F.contains(text, w))
+
+
+def pooled(met: DataFrame, limit: int = C.TIER_LIMIT) -> DataFrame:
+    """The heaviest rows of each query and pool tier."""
+    place = F.row_number().over(Window.partitionBy("query_id", "pool").orderBy(F.desc(F.coalesce("weight", F.lit(0))), "entry_id", "id"))
+    return met.withColumn("_n", place).filter(F.col("_n") <= limit).drop("_n")
+
+
+def anchored(asked: DataFrame, docs: DataFrame, names: DataFrame, limit: int = C.TIER_LIMIT) -> DataFrame:
+    """(query_id, id, anchor_rank): documents of entries that a query names.
+
+    names: (term, entry_id), the terms of the entries' headwords and forms. An entry counts with the first term that names it, the first `limit` entries of a
+    query with a document and then its first `limit` documents.
+    """
+    terms = asked.select("query_id", F.posexplode("anchors").alias("ordinal", "term"))
+    entries = terms.join(names.distinct(), "term").groupBy("query_id", "entry_id").agg(F.min("ordinal").alias("anchor_rank"))
+    entries = entries.join(docs.select("entry_id").distinct(), "entry_id", "left_semi")
+    first = entries.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("anchor_rank", "entry_id"))).filter(F.col("_n") <= limit).drop("_n")
+    rows = first.join(docs.select("id", "entry_id", "weight"), "entry_id")
+    order = ["anchor_rank", F.desc(F.coalesce("weight", F.lit(0))), "entry_id", "id"]
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("_n") <= limit).select("query_id", "id", "anchor_rank")
+
+
+#: Queries are broadcast up to so many (of at most 200 characters, some 20 MB), else joined by shuffle.
+BROADCAST_QUERIES = 20_000
+TEXTS = ("headword", "english_text", "candidate_text", "definition_text", "chinese_text")
+
+
+def search(queries: DataFrame, docs: DataFrame, limit: int = 32, names: DataFrame | None = None, normal=lambda v: v) -> DataFrame:
+    """(query_id, group_place, evidence_place, entry_id, id, tier, score): ranked groups with up to eight documents each.
+
+    docs: (id, entry_id, headword, scope, semantic_role, chinese_text, weight) and, where there are, the other texts. names: (term, entry_id) for anchors,
+    by default the terms of the documents' headwords. Null weights count as 0; documents without an entry or a Chinese character take no part.
+    """
+    asked = stored(prepared_queries(queries, normal), "reverse-queries")
+    few = asked.count() <= BROADCAST_QUERIES
+    there = prepared_documents(docs.withColumns({f: F.lit(None).cast("string") for f in TEXTS if f not in docs.columns}), normal).filter("entry_id is not null")
+    small = there.select("id", "pool", "weight", "entry_id")
     met = candidates(asked, there)
-    pool = Window.partitionBy("query_id", "pool")
-    whole = F.max(F.col("every").cast("int")).over(pool) == 1
-    met = met.withColumn("_whole", whole).filter(~F.col("_whole") | F.col("every")).drop("_whole")
-    text = there.select("id", "entry_id", "headword", "scope", "chinese_text", "weight", "runs", "priority", "role", "evidence_role")
-    joined = met.join(text, "id").join(asked.select("query_id", "q"), "query_id")
-    order = [F.desc(F.coalesce("weight", F.lit(0))), "entry_id", "id"]
-    bounded = joined.withColumn("_n", F.row_number().over(pool.orderBy(*order))).filter(F.col("_n") <= C.TIER_LIMIT).drop("_n")
-    return grouped(length_filtered(scored(bounded)), limit)
+    # queries with English words: candidates must hold them before the pools are cut
+    mixed = asked.filter("size(words) > 0").select("query_id", "words")
+    texts = there.select("id", *TEXTS)
+    plain = met.join(mixed.select("query_id"), "query_id", "left_anti")
+    with_words = met.join(mixed, "query_id").join(texts.select("id", "headword", "english_text", "chinese_text"), "id").filter(holds_words("headword", "english_text", "chinese_text"))
+    met = plain.unionByName(with_words.select(*plain.columns)).join(small.drop("pool"), "id")
+    whole = asked.filter("n_tokens > 1").select("query_id")
+    every = pooled(met.filter("every").join(whole, "query_id", "left_semi")).select("query_id", "id", "pool")
+    segments = exact_segments(there, "id", F.col("runs")).join(asked.filter("n_runs = 1").select("query_id", F.col("q").alias("segment")), "segment").select("query_id", "id")
+    exact = pooled(met.join(segments, ["query_id", "id"], "left_semi")).select("query_id", "id", "pool")
+
+    rows = there.select("id", "scope", "weight", "runs", "priority", "role", "evidence_role", "entry_id", "held", "outside", "total", "negated", "affirmed", *TEXTS)
+    asked_by = asked.select("query_id", "q", "words", "n_tokens")
+    # a pair is few bytes but much work: a number of partitions that is given isn't coalesced by size
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    detailed = lambda pairs: scored(pairs.repartition(parts, "id").join(rows, "id").join(F.broadcast(asked_by) if few else asked_by, "query_id"))
+    no_hits = F.struct(F.lit(0).alias("significant"), F.lit(0).alias("all"))
+    marked = lambda found: found.withColumns({"hits": F.when(F.size("words") > 0, X.evidence_hits(F.col("words"), *map(F.col, TEXTS))).otherwise(no_hits), "anchor": F.col("anchor_rank").isNotNull()})
+    words = lambda found: found.filter(F.col("anchor") | (F.col("hits.all") == F.size("words")))
+    none = F.lit(None).cast("int")
+    precise = every.unionByName(exact.join(whole, "query_id", "left_semi")).distinct().withColumn("anchor_rank", none)
+    first = stored(length_filtered(words(marked(detailed(precise)))).select("query_id", "id", "pool"), "reverse-precise")
+    satisfied = first.select("query_id", "pool").distinct()
+    rest = pooled(met.join(satisfied, ["query_id", "pool"], "left_anti")).select("query_id", "id", "pool")
+    names = there.select(X.headword_term(F.col("headword")).alias("term"), "entry_id").filter("term <> ''") if names is None else names
+    anchors = anchored(asked, there, names).join(there.select("id", "pool"), "id")
+    united = reduce(DataFrame.unionByName, [first.withColumn("anchor_rank", none), rest.withColumn("anchor_rank", none), anchors.select("query_id", "id", "pool", "anchor_rank")])
+    united = united.groupBy("query_id", "id", "pool").agg(F.min("anchor_rank").alias("anchor_rank"))  # signals of one document merge
+    return grouped(length_filtered(words(marked(detailed(united)))), limit)
 
 
 def grouped(rows: DataFrame, limit: int) -> DataFrame:
     """Rows ranked, then gathered by entry in the order of each entry's first row."""
-    kind = ["query_id", "entry_id", "tier", "priority", "role"]
+    kind = ["query_id", "entry_id", "tier", "priority", "evidence_role"]
     support = F.least(F.size(F.collect_set("chinese_text").over(Window.partitionBy(*kind))), F.lit(C.CORROBORATION_LIMIT))
     rows = rows.withColumn("support", support)
-    high = F.col("tier") > 1
+    high, anchor = F.col("tier") > 1, F.col("anchor")
+    named = [F.desc("tier"), F.desc(F.when(anchor, F.col("hits.significant"))), F.desc(F.when(anchor, F.col("hits.all"))), F.desc(F.when(anchor, F.col("score"))), F.when(anchor, F.col("anchor_rank"))]
     order = [
-        F.desc("tier"), F.desc("pool"), F.desc(F.when(high, F.col("priority"))), F.desc(F.when(high, F.col("role"))), F.desc(F.when(high, F.col("support"))),
-        F.desc("score"), F.desc("priority"), F.desc("role"), F.desc("support"), "entry_id", "headword", "id",
+        F.desc("anchor"), *named, F.desc("pool"), F.desc(F.when(high, F.col("priority"))), F.desc(F.when(high, F.col("evidence_role"))), F.desc(F.when(high, F.col("support"))),
+        F.desc("score"), F.desc("priority"), F.desc("evidence_role"), F.desc("support"), "entry_id", "headword", "id",
     ]
     placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     entry = Window.partitionBy("query_id", "entry_id")

@@ -203,12 +203,12 @@ def media_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def location_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Path key of each document, and whether its section's root holds it."""
+    """Path key of each document, and whether it lies within the place of its entry's first document."""
     path = F.from_json("path_json", "array<string>")
-    d = table(spark, sf, "search_documents").select("id", "section", path.alias("path"), "owner_id").distinct()
-    none = F.lit(None).cast("string")
-    inside = X.location_contains(F.col("section"), F.slice("path", 1, 1), none, F.col("section"), F.col("path"), F.col("owner_id"))
-    return d.select("id", X.path_key(F.col("path")).alias("key"), F.size("path").alias("depth"), inside.alias("inside"))
+    d = table(spark, sf, "search_documents").select("id", "entry_id", "section", path.alias("path"), "owner_id").filter("entry_id is not null").distinct()
+    first = d.groupBy("entry_id").agg(F.min_by(F.struct("section", F.slice("path", 1, 2).alias("path"), "owner_id"), "id").alias("f"))
+    inside = X.location_contains(F.col("f.section"), F.col("f.path"), F.col("f.owner_id"), F.col("section"), F.col("path"), F.col("owner_id"))
+    return d.join(first, "entry_id").select("id", X.path_key(F.col("path")).alias("key"), F.size("path").alias("depth"), inside.alias("inside"))
 
 
 def english_hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -287,7 +287,15 @@ ORACLE = {
         SELECT term, id, CASE WHEN regexp_full_match(label, '\(.*\)') THEN trim(label[2:-2]) ELSE label END AS label, CASE WHEN length(line) > 512 THEN rtrim(substr(line, 1, 509)) || '...' ELSE line END AS preview FROM l""",
     "media_urls": r"""SELECT id, CASE WHEN strlen(headword) BETWEEN 1 AND 512 AND NOT regexp_matches(headword, '[/\\]') AND headword NOT IN ('.', '..')
         THEN 'https://media.example/' || url_encode(substr(lower(headword), 1, 1)) || '/' || url_encode(substr(lower(headword), 1, 3)) || '/' || url_encode(headword) || '.mp3' END AS url FROM entries""",
-    "location_keys": """SELECT DISTINCT id, array_to_string([url_encode(s) FOR s IN p], '/') AS key, len(p)::INT AS depth, section = section AND len(p) >= 1 AS inside
-        FROM (SELECT id, section, path_json::VARCHAR[] AS p, owner_id FROM (SELECT id, section, owner_id, json_extract_string(path_json, '$[*]') AS path_json FROM search_documents))""",
+    "location_keys": """WITH d AS (SELECT DISTINCT id, entry_id, section, json_extract_string(path_json, '$[*]') AS p, owner_id FROM search_documents WHERE entry_id IS NOT NULL),
+        f AS (SELECT entry_id, min_by(section, id) AS fs, min_by(p, id)[:2] AS fp, min_by(coalesce(owner_id, ''), id) AS fo FROM d GROUP BY 1)
+        SELECT id, array_to_string([url_encode(s) FOR s IN p], '/') AS key, len(p)::INT AS depth,
+          section = fs AND ((len(p) > len(fp) AND p[:len(fp)] = fp) OR (p = fp AND (fo = '' OR owner_id IS NULL OR fo = owner_id))) AS inside FROM d JOIN f USING (entry_id)""",
+    "english_hits": """WITH d AS (SELECT DISTINCT id, headword, english_text FROM search_documents WHERE headword IS NOT NULL AND english_text IS NOT NULL),
+        p AS (SELECT id, headword, [regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(t, '[ˈˌ]', '', 'g'), '[‐‑‒–—−]', '-', 'g')), '\\p{Han}', ' ', 'g'), '[^\\x00-\\x7F\\pL\\pN]', ' ', 'g') FOR t IN [headword, english_text]] AS t FROM d),
+        k AS (SELECT id, headword, [regexp_extract_all(regexp_replace(regexp_replace(x, '([^\\x00-\\x7F][-'']{0,8})[a-z0-9]+', '\\1', 'g'), '[a-z0-9]+([-'']{0,8}[^\\x00-\\x7F])', '\\1', 'g'), '[a-z0-9]+') FOR x IN t] AS k FROM p),
+        h AS (SELECT id, headword, list_distinct(k[1]) AS asked, k[2] AS there FROM k),
+        n AS (SELECT id, headword, len(list_intersect(asked, there))::INT AS every, [w FOR w IN asked IF w NOT IN ('a', 'an', 'the', 'to', 'of', 'on', 'no', 'i', 'and', 'or')] AS strong, there FROM h)
+        SELECT id, headword, CASE WHEN len(strong) > 0 THEN len(list_intersect(strong, there)) ELSE every END::INT AS significant, every FROM n""",
     "table_manifest": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in TABLES),
 }

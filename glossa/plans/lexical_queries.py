@@ -156,6 +156,13 @@ ORACLE = {
     "etymology_in_dictionary": f"WITH {TERMS} SELECT term, term IN (SELECT term FROM terms) AS known FROM (SELECT DISTINCT term_normalized AS term FROM etymology_articles WHERE term_normalized IS NOT NULL)",
     "merge_suggestions": f"""WITH {TERMS} SELECT DISTINCT term, 'dictionary' AS kind FROM terms
         UNION ALL SELECT DISTINCT term_normalized, 'etymology' FROM etymology_articles WHERE term_normalized IS NOT NULL AND term_normalized NOT IN (SELECT term FROM terms)""",
+    "regular_stems": r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(translate(lower(trim(english_text)), '’', ''''), '[\pL\p{Nd}]+(?:[''-][\pL\p{Nd}]+)*')) AS word FROM search_documents WHERE english_text IS NOT NULL),
+        k AS (SELECT word, CASE WHEN length(word) > 4 AND regexp_matches(word, 'ie[ds]$') THEN 'y' WHEN length(word) > 4 AND suffix(word, 'ed') THEN 'ed' WHEN length(word) > 5 AND suffix(word, 'ing') THEN 'ing'
+          WHEN length(word) > 4 AND suffix(word, 'es') THEN 'es' WHEN length(word) > 3 AND suffix(word, 's') THEN 's' END AS kind FROM w WHERE regexp_full_match(word, '[a-z]+')),
+        c AS (SELECT word, kind, CASE WHEN kind = 'y' THEN word[:-4] || 'y' ELSE word[:-(length(kind) + 1)] END AS stem FROM k WHERE kind IS NOT NULL),
+        d AS (SELECT word, stem, kind, kind IN ('ed', 'ing') AND stem[-1] = stem[-2] AND NOT contains('aeiou', stem[-1]) AS doubled FROM c),
+        s AS (SELECT word, CASE WHEN doubled THEN stem[:-2] ELSE stem END AS stem FROM d UNION SELECT word, stem || 'e' FROM d WHERE kind IN ('ed', 'ing') AND NOT doubled)
+        SELECT word, stem FROM s WHERE length(stem) >= 3 AND stem <> word""",
     "entry_page": f"""SELECT dictionary_id, id, headword, place::INT AS place, n > 20 AS has_more, CASE WHEN n > 20 THEN 20 END AS next_offset FROM (
         SELECT dictionary_id, id, headword, row_number() OVER (PARTITION BY dictionary_id ORDER BY {FOLD % 'headword'}, id) AS place, count(*) OVER (PARTITION BY dictionary_id) AS n
         FROM entries WHERE dictionary_id IS NOT NULL) WHERE place BETWEEN 11 AND 20""",

@@ -46,9 +46,11 @@ def reverse_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def segment_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of which a whole segment is the query."""
-    asked = reverse.prepared_queries(_queries(spark, sf)).filter("n_runs = 1").select("query_id", F.col("q").alias("segment"))
-    return index.exact_segments(_runs(spark, sf), "id", F.col("runs")).join(asked, "segment").select("query_id", "id")
+    """Documents of which a whole segment is the query, for every first Chinese run of a text as a query."""
+    runs = X.cjk_runs(X.spaced(F.col("normalized_chinese_text")))
+    asked = table(spark, sf, "texts").select(F.try_element_at(runs, F.lit(1)).alias("query")).filter("query is not null").distinct()
+    wanted = reverse.prepared_queries(asked.select(F.col("query").alias("query_id"), "query")).filter("n_runs = 1").select("query_id", F.col("q").alias("segment"))
+    return index.exact_segments(_runs(spark, sf), "id", F.col("runs")).join(wanted, "segment").select("query_id", "id")
 
 
 def match_quality(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +67,10 @@ def match_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reverse_search(spark: SparkSession, sf: str) -> DataFrame:
-    return reverse.search(_queries(spark, sf), _docs(spark, sf).filter("entry_id is not null"))
+    """Every translation preview, and every headword with it as a mixed query, against all documents."""
+    mixed = table(spark, sf, "entries").filter("translation_preview is not null and id like '%0'").select(F.concat_ws(" ", "headword", "translation_preview").alias("query")).distinct()
+    asked = _queries(spark, sf).unionByName(mixed.select(F.col("query").alias("query_id"), "query"))
+    return reverse.search(asked, _docs(spark, sf), normal=X.compatible)
 
 
 def document_validation(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +124,8 @@ ORACLE = {
         met AS (SELECT query_id, id, count(*) AS shared FROM qtokens JOIN tokens USING (token) GROUP BY 1, 2)
         SELECT query_id, pool, count(*) AS some, sum(CASE WHEN shared = n THEN 1 ELSE 0 END)::BIGINT AS every
         FROM met JOIN (SELECT DISTINCT id, {POOL} AS pool FROM docs) USING (id) JOIN (SELECT query_id, count(*) AS n FROM qtokens GROUP BY 1) USING (query_id) GROUP BY 1, 2""",
-    "segment_matches": f"WITH {DOCS}, {_ASKED} SELECT DISTINCT query_id, id FROM (SELECT id, unnest(runs) AS segment FROM docs) JOIN asked ON segment = q AND len(q_runs) = 1",
+    "segment_matches": f"""WITH {DOCS}, asked AS (SELECT DISTINCT ({RUNS % 'normalized_chinese_text'})[1] AS query_id FROM texts)
+        SELECT DISTINCT query_id, id FROM (SELECT id, unnest(runs) AS query_id FROM docs) JOIN asked USING (query_id) WHERE length(query_id) <= 200""",
     "match_quality": f"""WITH {DOCS}, own AS (SELECT DISTINCT id AS entry_id, array_to_string({RUNS % 'translation_preview'}, '') AS q FROM entries WHERE translation_preview IS NOT NULL),
         both_ AS (SELECT DISTINCT d.id, q, runs, length(q) AS n FROM docs d JOIN own USING (entry_id) WHERE q <> '' AND len(runs) > 0)
         SELECT id, q, list_bool_or([contains(r, q) FOR r IN runs]) AS contains,

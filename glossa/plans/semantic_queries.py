@@ -158,6 +158,16 @@ _METRICS = f"""{_TOP}, judged AS (SELECT a.vec_id AS query_id, b.vec_id AS item,
   metrics AS (SELECT query_id, round(CASE WHEN ideal > 0 THEN coalesce(gain, 0) / ideal ELSE 0 END, 6) AS ndcg, round(coalesce(1 / first, 0), 6) AS reciprocal_rank, coalesce(hits, 0)::INT AS hits,
     round(CASE WHEN wanted > 0 THEN coalesce(hits, 0) / wanted END, 6) AS recall FROM ideal LEFT JOIN found USING (query_id))"""
 
+_TV = """tb AS (SELECT first_vector_id + i AS id, hex(data[i * 64 + 1 : i * 64 + 64]) AS h FROM vector_blocks, LATERAL (SELECT unnest(range(0, vector_count)) AS i) WHERE octet_length(data) = 64 * vector_count),
+  tn AS (SELECT id, scope_mask, [instr('0123456789ABCDEF', h[2 * j - 1]) * 16 + instr('0123456789ABCDEF', h[2 * j]) - 17 FOR j IN range(1, 65)] AS b FROM tb JOIN texts USING (id)),
+  tv AS (SELECT id, scope_mask, [(CASE WHEN x > 127 THEN x - 256 ELSE x END)::FLOAT FOR x IN b] AS v FROM tn)"""
+
+
+def _pool(k: int) -> str:
+    return f"""{_TV}, pool AS (SELECT a.id AS query_id, b.id, list_dot_product(a.v, b.v)::INT AS dot, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.v, b.v) DESC, b.id) AS place
+    FROM tv a JOIN tv b ON a.id % 50 = 0 AND (a.scope_mask & b.scope_mask) <> 0 QUALIFY place <= {k})"""
+
+
 QUERIES = {
     "vector_norms": vector_norms,
     "quantize_query": quantize_query,
@@ -180,5 +190,14 @@ ORACLE = {
     "quantisation_error": f"""WITH {_TOP}, e AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS x FROM embeddings)
         SELECT query_id, round(avg(abs(dot / 16129 - list_cosine_similarity(a.x, b.x))), 5) AS mean_error FROM top JOIN e a ON a.vec_id = query_id JOIN e b ON b.vec_id = id WHERE place <= 20 GROUP BY 1""",
     "ranking_metrics": f"WITH {_METRICS} SELECT query_id, ndcg, reciprocal_rank, hits, recall FROM metrics",
+    "text_topk": f"WITH {_pool(20)} SELECT query_id, id, dot, place::INT AS place FROM pool",
+    "semantic_groups": f"""WITH {_pool(504)}, d AS (SELECT DISTINCT id, entry_id, headword, weight, semantic_role, text_id FROM search_documents WHERE id IS NOT NULL AND text_id IS NOT NULL AND entry_id IS NOT NULL),
+        r AS (SELECT query_id, dot, d.id, entry_id, headword, coalesce(weight, 0) AS w, round((dot / 16129)::FLOAT::DOUBLE / 0.004999999888241291) AS band,
+          CASE WHEN semantic_role IN ('definition', 'guidance', 'expression', 'example') THEN 2 WHEN semantic_role IN ('qualifier', 'context') THEN 1 WHEN semantic_role = 'heading' THEN 0 ELSE -1 END AS role,
+          CASE WHEN semantic_role IN ('definition', 'expression') THEN 3 WHEN semantic_role IN ('guidance', 'example') THEN 2 WHEN semantic_role IN ('qualifier', 'context') THEN 1 WHEN semantic_role = 'heading' THEN 0 ELSE -1 END AS evidence FROM pool JOIN d ON pool.id = text_id),
+        p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY band DESC, role DESC, dot DESC, w DESC, entry_id, headword NULLS FIRST, id) AS place,
+          row_number() OVER (PARTITION BY query_id, entry_id ORDER BY band DESC, evidence DESC, dot DESC, w DESC, headword NULLS FIRST, id) AS evidence_place FROM r),
+        f AS (SELECT *, min(place) OVER (PARTITION BY query_id, entry_id) AS first FROM p QUALIFY evidence_place <= 8)
+        SELECT query_id, group_place::INT AS group_place, evidence_place::INT AS evidence_place, entry_id, id, dot FROM (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY first) AS group_place FROM f) WHERE group_place <= 20""",
     "label_macro": f"WITH {_METRICS} SELECT label, count(*) AS queries, round(avg(ndcg), 5) AS ndcg, round(avg(reciprocal_rank), 5) AS mrr FROM metrics JOIN embeddings ON vec_id = query_id GROUP BY ROLLUP (label)",
 }
