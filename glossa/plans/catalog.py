@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.plans import analytics_queries, judging_queries, lexical_queries, nested_queries, reverse_queries, semantic_queries, text_queries
+from glossa.plans import analytics_queries, canonical_queries, judging_queries, lexical_queries, nested_queries, request_queries, reverse_queries, semantic_queries, text_queries
 
-MODULES = (lexical_queries, reverse_queries, semantic_queries, analytics_queries, judging_queries, text_queries, nested_queries)
+MODULES = (lexical_queries, reverse_queries, semantic_queries, analytics_queries, judging_queries, text_queries, nested_queries, request_queries, canonical_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
