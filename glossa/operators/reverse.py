@@ -60,9 +60,10 @@ def candidates(queries: DataFrame, docs: DataFrame) -> DataFrame:
     queries: prepared_queries(); docs: prepared_documents(). The postings are cut down to tokens that a query has before they are grouped.
     """
     asked = queries.select("query_id", "n_tokens", F.explode("tokens").alias("token"))
-    postings = docs.select("id", "pool", F.explode(X.index_tokens(F.col("runs"))).alias("token"))
-    met = postings.join(asked, "token").groupBy("query_id", "id", "pool", "n_tokens").agg(F.count("*").cast("int").alias("shared"))
-    return met.select("query_id", "id", "pool", "shared", (F.col("shared") == F.col("n_tokens")).alias("every"))
+    kept = ["id", "pool", *(c for c in ("weight", "entry_id") if c in docs.columns)]  # what pools are cut by goes along, so no pair is joined for it
+    postings = docs.select(*kept, F.explode(X.index_tokens(F.col("runs"))).alias("token"))
+    met = postings.join(asked, "token").groupBy("query_id", *kept, "n_tokens").agg(F.count("*").cast("int").alias("shared"))
+    return met.select("query_id", *kept, "shared", (F.col("shared") == F.col("n_tokens")).alias("every"))
 
 
 def scored(pairs: DataFrame) -> DataFrame:
@@ -158,18 +159,18 @@ def search(queries: DataFrame, docs: DataFrame, limit: int = 32, names: DataFram
     asked = stored(prepared_queries(queries, normal), "reverse-queries")
     few = asked.count() <= BROADCAST_QUERIES
     there = prepared_documents(docs.withColumns({f: F.lit(None).cast("string") for f in TEXTS if f not in docs.columns}), normal).filter("entry_id is not null")
-    small = there.select("id", "pool", "weight", "entry_id")
     met = candidates(asked, there)
     # queries with English words: candidates must hold them before the pools are cut
     mixed = asked.filter("size(words) > 0").select("query_id", "words")
     texts = there.select("id", *TEXTS)
     plain = met.join(mixed.select("query_id"), "query_id", "left_anti")
     with_words = met.join(mixed, "query_id").join(texts.select("id", "headword", "english_text", "chinese_text"), "id").filter(holds_words("headword", "english_text", "chinese_text"))
-    met = plain.unionByName(with_words.select(*plain.columns)).join(small.drop("pool"), "id")
+    met = plain.unionByName(with_words.select(*plain.columns))
     whole = asked.filter("n_tokens > 1").select("query_id")
-    every = pooled(met.filter("every").join(whole, "query_id", "left_semi")).select("query_id", "id", "pool")
+    cols = ["query_id", "id", "pool"]
+    every = pooled(met.filter("every").join(whole, "query_id", "left_semi")).select(*cols)
     segments = exact_segments(there, "id", F.col("runs")).join(asked.filter("n_runs = 1").select("query_id", F.col("q").alias("segment")), "segment").select("query_id", "id")
-    exact = pooled(met.join(segments, ["query_id", "id"], "left_semi")).select("query_id", "id", "pool")
+    exact = pooled(segments.join(there.select("id", "pool", "weight", "entry_id"), "id")).select(*cols)
 
     rows = there.select("id", "scope", "weight", "runs", "priority", "role", "evidence_role", "entry_id", "held", "outside", "total", "negated", "affirmed", *TEXTS)
     asked_by = asked.select("query_id", "q", "words", "n_tokens")
@@ -183,7 +184,9 @@ def search(queries: DataFrame, docs: DataFrame, limit: int = 32, names: DataFram
     precise = every.unionByName(exact.join(whole, "query_id", "left_semi")).distinct().withColumn("anchor_rank", none)
     first = stored(length_filtered(words(marked(detailed(precise)))).select("query_id", "id", "pool"), "reverse-precise")
     satisfied = first.select("query_id", "pool").distinct()
-    rest = pooled(met.join(satisfied, ["query_id", "pool"], "left_anti")).select("query_id", "id", "pool")
+    # queries of one token have no pass of their own for whole matches, their exact segments join here
+    single = exact.join(whole, "query_id", "left_anti")
+    rest = pooled(met.join(satisfied, ["query_id", "pool"], "left_anti")).select(*cols).unionByName(single.join(satisfied, ["query_id", "pool"], "left_anti")).distinct()
     names = there.select(X.headword_term(F.col("headword")).alias("term"), "entry_id").filter("term <> ''") if names is None else names
     anchors = anchored(asked, there, names).join(there.select("id", "pool"), "id")
     united = reduce(DataFrame.unionByName, [first.withColumn("anchor_rank", none), rest.withColumn("anchor_rank", none), anchors.select("query_id", "id", "pool", "anchor_rank")])

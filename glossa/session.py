@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,8 +39,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables that this process stored; they are needed as long as a frame that reads them may run, so they go at its end.
+_written: list[str] = []
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Removes all tables that stored() wrote so far, through the file system that holds them; frames that read them can't run any more."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
+@atexit.register
+def _at_end() -> None:
+    """What is left in a local folder goes with the process."""
+    for path in _written:
+        local = path.removeprefix("file://").removeprefix("file:")
+        if local.startswith("/"):
+            shutil.rmtree(local, ignore_errors=True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in shared storage; unlike cut() later scans prune its columns."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

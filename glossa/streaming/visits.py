@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -48,16 +48,30 @@ def expiring(events: DataFrame, key: str, time: str, ttl: str, late: str = "1 ho
     return events.withWatermark(time, late).groupBy(key).applyInPandasWithState(step, schema, "created long, uses long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert(batch: DataFrame, target: str, key: list[str], order: list) -> None:
-    """For foreachBatch: the latest row of each key, written as a new version of the table beside the old one."""
+def upsert(batch: DataFrame, batch_id: int, target: str, key: list[str], order: list) -> None:
+    """For foreachBatch: the latest row of each key, as version `batch_id` of the table `target`.
+
+    A version is a folder of its own that counts once its success mark is written, so a crash leaves the version before as it is, and a batch that comes
+    again is merged with the version before it and gives the same rows. Versions older than the one before are removed.
+    """
     from glossa.operators.state import latest
 
     spark = batch.sparkSession
-    try:
-        old = spark.read.parquet(f"{target}/current")
-        batch = old.unionByName(batch)
-    except Exception as e:  # no version yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    latest(batch, key, order).write.mode("overwrite").parquet(f"{target}/next")
-    spark.read.parquet(f"{target}/next").write.mode("overwrite").parquet(f"{target}/current")
+    done = [v for v in versions(spark, target) if v < batch_id]
+    rows = spark.read.parquet(f"{target}/v={done[-1]}").unionByName(batch) if done else batch
+    latest(rows, key, order).write.mode("overwrite").parquet(f"{target}/v={batch_id}")
+    for old in done[:-1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v={old}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """Complete versions of a table, oldest first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(f.getPath().getParent().getName().removeprefix("v=")) for f in found)
+
+
+def current(spark: SparkSession, target: str) -> DataFrame:
+    """The newest complete version of a table."""
+    return spark.read.parquet(f"{target}/v={versions(spark, target)[-1]}")

@@ -120,7 +120,7 @@ def test_text_functions(spark):
     assert get(X.media_url(lit("a b"), "https://m.example/{prefix1}/{key}")) == "https://m.example/a/a%20b"
     assert get(X.media_url(lit("../x"), "https://m.example/{key}")) is None
     assert tuple(get(X.link_target(lit("/word/a%20b#7")))) == ("a b", "7") and get(X.link_target(lit("https://x.example/"))) is None
-    assert get(X.stems(lit("tried"))) == ["try"] and get(X.stems(lit("running"))) == ["run", "runn"] and get(X.stems(lit("glass"))) == []
+    assert get(X.stems(lit("tried"))) == ["try"] and get(X.stems(lit("running"))) == ["run"] and get(X.stems(lit("glass"))) == ["glas"]
     assert get(X.token_at(lit("say don't now"), lit(6))) == "don't" and get(X.token_at(lit("a  b"), lit(2))) is None
     assert get(X.preview(lit("a  b" * 400))).endswith("...") and len(get(X.preview(lit("x" * 600)))) == 512
     assert get(X.evidence_hits(F.array(lit("the"), lit("cat")), lit("The cat sat"))) == (1, 2)
