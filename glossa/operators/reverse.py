@@ -186,7 +186,12 @@ def search(queries: DataFrame, docs: DataFrame, limit: int = 32, names: DataFram
     satisfied = first.select("query_id", "pool").distinct()
     # queries of one token have no pass of their own for whole matches, their exact segments join here
     single = exact.join(whole, "query_id", "left_anti")
-    rest = pooled(met.join(satisfied, ["query_id", "pool"], "left_anti")).select(*cols).unionByName(single.join(satisfied, ["query_id", "pool"], "left_anti")).distinct()
+    # what the length filter keeps of a query of four characters or more has a run of half of it in common, so it shares the pairs of that run, repeated ones aside;
+    # a pair that shares fewer is dropped once the pool is cut, before anything is measured
+    n, pairs = F.length("q"), F.size(F.filter("tokens", lambda t: F.length(t) == 2))
+    least = F.when(n >= 4, F.greatest(F.lit(3), F.floor((n + 1) / 2).cast("int")) - 1 - (n - 1 - pairs)).otherwise(0)
+    near = pooled(met.join(satisfied, ["query_id", "pool"], "left_anti")).join(asked.select("query_id", least.alias("least")), "query_id").filter(F.col("shared") >= F.col("least"))
+    rest = near.select(*cols).unionByName(single.join(satisfied, ["query_id", "pool"], "left_anti")).distinct()
     names = there.select(X.headword_term(F.col("headword")).alias("term"), "entry_id").filter("term <> ''") if names is None else names
     anchors = anchored(asked, there, names).join(there.select("id", "pool"), "id")
     united = reduce(DataFrame.unionByName, [first.withColumn("anchor_rank", none), rest.withColumn("anchor_rank", none), anchors.select("query_id", "id", "pool", "anchor_rank")])
