@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa import constants as C
+from glossa.session import stored, stored_parts
 
 #: Query vectors to a block: all rows are scored against one block after the other, so what is broadcast is bounded.
 QUERY_BLOCK = 4096
@@ -57,20 +58,23 @@ def top_matches(queries: DataFrame, vectors: DataFrame, k: int, mask: bool = Fal
     queries: (query_id, q array<int>[, scope_mask]); vectors: (id, v array<int>[, scope_mask]), where with mask=True a vector
     counts only if it shares a bit with the query. The queries are a stated set and go out in blocks of QUERY_BLOCK;
     a first pass counts the dot products of each query in steps, which gives a value that its k-th best reaches, and only what
-    reaches it is shuffled.
+    reaches it is shuffled. The matches of a block are stored before the next one goes out, so neither a plan nor what the driver
+    holds grows with the number of blocks.
     """
     spark = vectors.sparkSession
-    cols = ["query_id", "q"] + ["scope_mask"] * mask
-    numbered = queries.select(*cols).withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))))
-    blocks = [r["_block"] for r in numbered.select("_block").distinct().collect()]
+    scope = ["scope_mask"] * mask
+    side = stored(vectors.select("id", "v", *scope), "vectors")
+    numbered = stored(queries.select("query_id", "q", *scope), "queries")
+    numbered = numbered.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-numbered.count() // QUERY_BLOCK)))))
+    blocks = sorted(r["_block"] for r in numbered.select("_block").distinct().collect())
     q_type, id_type = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
     schema = f"query_id {q_type}, id {id_type}, dot int"
-    out = spark.createDataFrame([], schema)
-    for b in blocks:
+
+    def found(b: int) -> Iterator[DataFrame]:
         part = numbered.filter(F.col("_block") == b).toPandas()
         shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(), np.stack(part["q"]).astype(np.float32), part["scope_mask"].to_numpy() if mask else None))
 
-        def scored(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        def scored(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             """(number of the first query, ids in order, dot products), -inf where the masks share no bit."""
             names, q, wanted = shared.value
             for pdf in batches:
@@ -85,7 +89,7 @@ def top_matches(queries: DataFrame, vectors: DataFrame, k: int, mask: bool = Fal
                         d[(wanted[a : a + 256, None] & pdf["scope_mask"].to_numpy()[order][None, :]) == 0] = -np.inf
                     yield a, ids, d
 
-        def count(batches: Iterator[pd.DataFrame], shared=shared, scored=scored) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names = shared.value[0]
             total = np.zeros((len(names), 2 * EDGES + 1), dtype=np.int64)
             for a, _, d in scored(batches):
@@ -96,7 +100,6 @@ def top_matches(queries: DataFrame, vectors: DataFrame, k: int, mask: bool = Fal
             row, edge = np.nonzero((total > 0) & (above - total < k))  # lower ones can't hold the k-th of all
             yield pd.DataFrame({"q": row.astype(np.int32), "edge": (edge - EDGES).astype(np.int32), "n": total[row, edge]})
 
-        side = vectors.select("id", "v", *["scope_mask"] * mask)
         upto = F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("edge")))
         counted = side.mapInPandas(count, "q int, edge int, n long").groupBy("q", "edge").agg(F.sum("n").alias("n")).withColumn("upto", upto)
         edges = counted.filter(F.col("upto") >= k).groupBy("q").agg(F.max("edge").alias("edge")).toPandas()
@@ -104,17 +107,22 @@ def top_matches(queries: DataFrame, vectors: DataFrame, k: int, mask: bool = Fal
         least_dot[edges["q"]] = np.where(edges["edge"] > -EDGES, edges["edge"] * STEP, -np.inf)
         bound = spark.sparkContext.broadcast(least_dot)
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared, scored=scored, bound=bound) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names = shared.value[0]
             for a, ids, d in scored(batches):
                 row, col = np.nonzero(np.isfinite(d) & (d >= bound.value[a : a + len(d), None]))
                 yield pd.DataFrame({"query_id": names[a : a + len(d)][row], "id": ids[col], "dot": d[row, col].astype(np.int32)})
 
-        out = out.unionByName(side.mapInPandas(scan, schema))
-    if least is not None:
-        out = out.filter(F.col("dot") / C.DOT_SCALE >= least)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("dot"), "id"))
-    return out.withColumn("place", place).filter(F.col("place") <= k)
+        out = side.mapInPandas(scan, schema)
+        if least is not None:
+            out = out.filter(F.col("dot") / C.DOT_SCALE >= least)
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("dot"), "id"))
+        yield out.withColumn("place", place).filter(F.col("place") <= k)
+        shared.destroy()
+        bound.destroy()
+
+    parts = (df for b in blocks for df in found(b))
+    return stored_parts(spark, parts, f"{schema}, place int", "matches")
 
 
 def pool_size(offset: int, limit: int) -> int:

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,3 +68,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_parts(spark: SparkSession, parts: Iterable[DataFrame], schema: str, label: str) -> DataFrame:
+    """One stored table of all parts, each written before the next is asked for: the plans of earlier parts are over by then."""
+    out = stored(spark.createDataFrame([], schema), label)
+    path = _written[-1]
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(out.schema).parquet(path)

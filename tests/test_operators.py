@@ -3,6 +3,7 @@ import io
 import math
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,16 @@ def test_streams(spark, tmp_path):
         query.stop()
     assert {(r.k, r.visits) for r in spark.table("windows").collect()} >= {("a", 1), ("b", 1)}
     assert {r.k for r in spark.table("ended").collect()} >= {"a", "b"}
+
+
+def test_a_plan_of_matches_does_not_grow_with_the_blocks_of_queries(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    rows = [(i, r.integers(-127, 128, 8).tolist()) for i in range(300)]
+    vectors_ = spark.createDataFrame(rows, "id long, v array<int>")
+    asked = vectors_.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    one = vectors.top_matches(asked, vectors_, 5)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 25)
+    many = vectors.top_matches(asked, vectors_, 5)
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert size(many) == size(one)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect())) and many.count() == 1500
