@@ -16,6 +16,8 @@ from glossa.session import stored, stored_parts
 QUERY_BLOCK = 4096
 #: Width of a step in which dot products are counted, and steps on either side of zero.
 STEP, EDGES = 64, 256
+#: Bits of an entry mask to a group, and bytes of masks that are broadcast at most.
+MASK_BITS, BROADCAST_MASKS = 32, 8_000_000
 
 
 def norm(v: Column) -> Column:
@@ -135,16 +137,56 @@ def evidence_groups(matches: DataFrame, docs: DataFrame, text_id: str, limit: in
 
     docs needs text_id, id, entry_id, headword, weight, role and evidence_role (ranks of the semantic role).
     """
-    rows = matches.join(docs, matches["id"] == docs[text_id]).select("query_id", "dot", docs["id"].alias("id"), "entry_id", "headword", "weight", "role", "evidence_role")
-    rows = rows.withColumn("band", band(score(F.col("dot"))))
+    # The first groups come from the bands that hold the nearest texts, if these name enough entries; only then is the rest of the pool
+    # looked into, and of it only what an entry mask lets pass is shuffled by query.
+    kept = stored(docs.select(F.col(text_id).alias("_text"), F.col("id"), "entry_id", "headword", "weight", "role", "evidence_role"), "evidence")
+    pool = matches.withColumn("band", band(score(F.col("dot"))))
+    by = Window.partitionBy("query_id")
     tail = [F.desc("dot"), F.desc(F.coalesce("weight", F.lit(0))), "entry_id", "headword", "id"]
-    by, entry = Window.partitionBy("query_id"), Window.partitionBy("query_id", "entry_id")
-    placed = rows.withColumn("place", F.row_number().over(by.orderBy(F.desc("band"), F.desc("role"), *tail)))
-    placed = placed.withColumns({"_first": F.min("place").over(entry), "evidence_place": F.row_number().over(entry.orderBy(F.desc("band"), F.desc("evidence_role"), *tail))})
-    ranked = placed.filter(F.col("evidence_place") <= C.EVIDENCE_LIMIT).withColumn("group_place", F.dense_rank().over(by.orderBy("_first"))).filter(F.col("group_place") <= limit)
+    rows = lambda part: part.select("query_id", F.col("id").alias("_text"), "dot", "band").join(kept, "_text").drop("_text")
+
+    def firsts(part: DataFrame) -> DataFrame:
+        """(query_id, entry_id, group_place) of the first groups of the rows of part."""
+        placed = rows(part).groupBy("query_id", "entry_id").agg(F.min(F.struct(*_ascending("role"))).alias("_first"))
+        return placed.withColumn("group_place", F.row_number().over(by.orderBy("_first"))).filter(F.col("group_place") <= limit).select("query_id", "entry_id", "group_place")
+
+    least = pool.groupBy("query_id").agg(F.min(F.when(F.col("place") <= 2 * limit, F.col("band"))).alias("_least"))
+    near = stored(firsts(pool.join(least, "query_id").filter(F.col("band") >= F.col("_least"))), "evidence-near")
+    enough = near.filter(F.col("group_place") == limit).select("query_id")
+    groups = stored(near.join(enough, "query_id", "left_semi").unionByName(firsts(pool.join(enough, "query_id", "left_anti"))), "evidence-groups")
+    words = -(-limit * MASK_BITS // 64)
+    slot = F.pmod(F.xxhash64("entry_id"), F.lit(64 * words)).cast("int")
+    masks = groups.groupBy("query_id").agg(F.collect_list(slot).alias("slots")).select("query_id", _mask(words)("slots").alias("_mask"))
+    there = F.getbit(F.element_at("_mask", (F.floor(slot / 64) + 1).cast("int")), slot % 64) == 1
+    if groups.select("query_id").distinct().count() * words * 8 <= BROADCAST_MASKS:
+        masks = F.broadcast(masks)
+    passed = rows(pool).join(masks, "query_id").filter(there).drop("_mask").join(groups, ["query_id", "entry_id"])
+    entry = Window.partitionBy("query_id", "entry_id")
+    ranked = passed.withColumn("evidence_place", F.row_number().over(entry.orderBy(F.desc("band"), F.desc("evidence_role"), *tail))).filter(F.col("evidence_place") <= C.EVIDENCE_LIMIT)
     return ranked.select("query_id", "group_place", "evidence_place", "entry_id", "id", "dot")
 
 
+def _ascending(role: str) -> list[Column]:
+    """The order of evidence rows as fields of a struct that is least for the first."""
+    return [(-F.col("band")).alias("a"), (-F.col(role)).alias("b"), (-F.col("dot")).alias("c"), (-F.coalesce("weight", F.lit(0)).cast("long")).alias("d"), F.col("entry_id").alias("e"), F.col("headword").alias("f"), F.col("id").alias("g")]
+
+
+def _mask(words: int):
+    """Function of a list of slots: the bits of these slots, in so many words of 64 bits."""
+
+    @F.pandas_udf("array<long>")
+    def made(slots: pd.Series) -> pd.Series:
+        def of(x: np.ndarray) -> np.ndarray:
+            bits = np.zeros(words, dtype=np.uint64)
+            x = np.asarray(x, dtype=np.int64)
+            np.bitwise_or.at(bits, x // 64, np.uint64(1) << (x % 64).astype(np.uint64))
+            return bits.view(np.int64)
+
+        return slots.map(of)
+
+    return made
+
+
 def merged_matches(matches: DataFrame) -> DataFrame:
     """Up to eight matches of each (query_id, entry_id), with those of one key merged where both sides found the entry.
 

@@ -63,3 +63,20 @@ def test_matches_of_one_key_merge(spark):
     assert [tuple(e)[:2] for e in by["a"].profile] == [(200, 2), (112, 1)] and (by["a"].tier, by["a"].scores, by["a"].lexical_place, by["a"].semantic_place) == (3, [16129, 9000], 7, 2)
     assert len(by["s"].profile) == 2 and by["l"].profile is None and by["l"].tier == 4
     assert by["t"].profile is None and by["t"].tier == 4 and by["t"].semantic_place == 4
+
+
+def test_only_rows_of_the_first_entries_are_ranked(spark):
+    """Pools that name enough entries at once and pools that don't; no window over all rows of a query is in the plan of the ranked rows."""
+    matches = spark.createDataFrame([(q, t, 16129 - 90 * t * (q + 1), t + 1) for q in (0, 1) for t in range(30)], "query_id int, id long, dot int, place int")
+    rows = [(t, 100 * t + j, f"e{(t * j) % 9 if t % 3 else 0}", "h", j, 2, 3) for t in range(30) for j in range(4)]
+    found = vectors.evidence_groups(matches, spark.createDataFrame(rows, "text_id long, id long, entry_id string, headword string, weight int, role int, evidence_role int"), "text_id", 4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x.split(",")[1].strip() for x in plan.split("windowspecdefinition(")[1:]]
+    assert windows and all(x.startswith("entry_id#") for x in windows)
+    want = set()
+    for q in (0, 1):
+        mine = [(d.dot, round(float(np.float32(d.dot / C.DOT_SCALE)) / C.BAND_WIDTH), *r) for d in matches.filter(f"query_id = {q}").collect() for r in rows if r[0] == d.id]
+        mine.sort(key=lambda x: (-x[1], -x[0], -x[6], x[4], x[3]))
+        for place, e in enumerate(list(dict.fromkeys(x[4] for x in mine))[:4], 1):
+            want |= {(q, place, k, e, x[3], x[0]) for k, x in enumerate([x for x in mine if x[4] == e][:8], 1)}
+    assert {tuple(r) for r in found.collect()} == want
