@@ -150,7 +150,7 @@ def evidence_groups(matches: DataFrame, docs: DataFrame, text_id: str, limit: in
         placed = rows(part).groupBy("query_id", "entry_id").agg(F.min(F.struct(*_ascending("role"))).alias("_first"))
         return placed.withColumn("group_place", F.row_number().over(by.orderBy("_first"))).filter(F.col("group_place") <= limit).select("query_id", "entry_id", "group_place")
 
-    least = pool.groupBy("query_id").agg(F.min(F.when(F.col("place") <= 2 * limit, F.col("band"))).alias("_least"))
+    least = pool.groupBy("query_id").agg(F.min(F.when(F.col("place") <= max(16, limit // 4), F.col("band"))).alias("_least"))
     near = stored(firsts(pool.join(least, "query_id").filter(F.col("band") >= F.col("_least"))), "evidence-near")
     enough = near.filter(F.col("group_place") == limit).select("query_id")
     groups = stored(near.join(enough, "query_id", "left_semi").unionByName(firsts(pool.join(enough, "query_id", "left_anti"))), "evidence-groups")
