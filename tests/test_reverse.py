@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from glossa import constants as C
 from glossa.functions import text as X
 from glossa.operators import reverse
+from glossa.plans import reverse_queries
 
 SCHEMA = "id long, entry_id string, scope string, headword string, english_text string, chinese_text string, semantic_role string, weight int"
 
@@ -75,3 +76,15 @@ def test_stems(spark):
     want = {"falling": ["fal"], "stopped": ["stop"], "boxes": ["box"], "seeing": ["see", "seee"], "grass": ["gras"], "tried": ["try"], "cries": ["cry"], "ring": [], "as": [], "naïves": [], "used": []}
     rows = spark.createDataFrame([(w,) for w in want], "w string").select("w", X.stems(F.col("w")).alias("s")).collect()
     assert {r.w: r.s for r in rows} == want
+
+
+def test_every_entry_is_a_mixed_query(spark, tmp_path):
+    """Whatever its id, and an entry without a headword or a preview has none."""
+    entries = [("lx000000001", "glarn", "推迟"), ("lx000000050", "tofib", "推迟"), ("lx", "put off", "休息"), ("lx000000002", None, "休息"), ("lx000000003", "nith", None)]
+    spark.createDataFrame(entries, "id string, headword string, translation_preview string").write.parquet(str(tmp_path / "entries.parquet"))
+    rows = [("lx000000001", "sense", "glarn", "", "推迟", 100), ("lx000000050", "sense", "tofib", "", "推迟", 90), ("lx", "sense", "put off", "", "休息", 100), ("lx000000003", "sense", "nith", "", "推迟", 10)]
+    _docs(spark, rows).withColumns({"candidate_text": F.lit(None).cast("string"), "definition_text": F.lit(None).cast("string"), "imported_at": F.lit(0)}).write.parquet(str(tmp_path / "search_documents.parquet"))
+    found = {}
+    for r in sorted(reverse_queries.reverse_search(spark, str(tmp_path)).collect(), key=lambda r: (r.group_place, r.evidence_place)):
+        found.setdefault(r.query_id, []).append(r.id)
+    assert found == {"推迟": [1, 2, 4], "休息": [3], "glarn 推迟": [1], "tofib 推迟": [2], "put off 休息": [3]}
